@@ -7,15 +7,20 @@ to the interpreter's own parser and returns its nodes. Counting them is left to
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+# The parser travels to the workers by value: they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The longest snippet that is parsed, and the deepest tree that
 # a recursive visit under the interpreter's default limit gets through.
 PARSE_LIMIT = 10_000
