@@ -13,6 +13,8 @@ from quillprint.operators.confusion import model_metrics
 from quillprint.operators.lengths import LENGTH_COLUMNS
 from quillprint.operators.scoring import score_fitted
 from quillprint.operators.vectors import DEFAULT_BUCKETS, text_features
+from quillprint.session import fresh_path
+from quillprint.sources.artifacts import cached_table
 
 HISTORY_SCHEMA = "epoch int, accuracy double, f1_macro double"
 
@@ -36,6 +38,7 @@ def train_linear(
     standardize: bool = True,
     aggregation_depth: int = 2,
     code_col: str = "code",
+    features_path: str | None = None,
 ) -> LinearFit:
     """Fit with growing iteration budgets and keep the one with the best dev macro-F1.
 
@@ -45,15 +48,29 @@ def train_linear(
     A strictly better F1 replaces the kept model; after ``patience`` candidates
     without one, training stops. ``aggregation_depth`` above 2 spares the
     driver when thousands of tasks each return a dense gradient.
+
+    Feature vectors are written once, to ``features_path`` or the shared folder,
+    and every pass reads them there: a lost executor costs no text processing.
     """
+    spark = train.sparkSession
 
-    def features(df: DataFrame) -> DataFrame:
-        made = text_features(df, buckets, code_col)
-        made = made.withColumn("label", F.col("label").cast("double"))
-        # Disk-backed, and rebuilt from the source if an executor is lost.
-        return made.persist(StorageLevel.MEMORY_AND_DISK)
+    def features() -> DataFrame:
+        # Keys are only needed to pair dev predictions.
+        parts = [
+            df.select("id", code_col, "label", F.lit(part).alias("part"))
+            for df, part in ((train, "train"), (dev, "dev"))
+        ]
+        made = text_features(
+            parts[0].unionByName(parts[1]), buckets, code_col, ("id", "label", "part")
+        )
+        return made.withColumn("label", F.col("label").cast("double"))
 
-    train_set, dev_set = features(train), features(dev)
+    table = cached_table(
+        spark, features_path or fresh_path(spark, "text-features"), features, ("part",)
+    )
+    train_set = table.where("part = 'train'").select("label", "features")
+    train_set = train_set.persist(StorageLevel.MEMORY_AND_DISK)
+    dev_set = table.where("part = 'dev'").select("id", "label", "features")
     best, best_f1, best_at, history, idle = None, -1.0, 0, [], 0
     try:
         for epoch in range(1, epochs + 1):
@@ -76,8 +93,7 @@ def train_linear(
                 break
     finally:
         train_set.unpersist()
-        dev_set.unpersist()
-    return LinearFit(best, history, best_at, score_linear(dev, best, code_col=code_col))
+    return LinearFit(best, history, best_at, score_fitted(dev_set, best))
 
 
 def score_linear(

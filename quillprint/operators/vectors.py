@@ -53,4 +53,7 @@ def text_features(
     join = VectorAssembler(
         inputCols=["text_vector", *LENGTH_COLUMNS], outputCol="features", handleInvalid="keep"
     )
-    return join.transform(measured).select(*kept, "features")
+    # The assembler describes every one of the buckets in column metadata, which
+    # each later plan would copy and compare; nothing reads it.
+    bare = F.col("features").alias("features", metadata={})
+    return join.transform(measured).select(*kept, bare)

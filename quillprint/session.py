@@ -57,11 +57,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an input that scans as fewer tasks than there are cores.
+    """Round-robin a plain scan that has fewer tasks than there are cores.
 
-    A file of one row group is one task however many cores wait. Inputs that
-    already split at least that far, as any large table does, are returned
-    untouched and pay no shuffle.
+    Only for tables as read: asking a plan with a shuffle for its partitions
+    would run the shuffle. A file of one row group is one task however many
+    cores wait. Inputs that already split at least that far, as any large table
+    does, are returned untouched and pay no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

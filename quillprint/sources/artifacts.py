@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.util import JavaMLReadable, MLWritable
@@ -13,16 +13,18 @@ from quillprint.sources.paths import is_missing, open_or_none
 
 
 def cached_table(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame]
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """The Parquet table at ``path``, built and written first if it is absent.
 
-    An interrupted write leaves no table behind: Spark commits the folder at
-    the end of the job, and a folder without data files reads as absent.
+    A write that was cut short has no commit marker and is done again.
     """
     found = _complete(spark, path)
     if found is None:
-        build().write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         found = spark.read.parquet(path)
     return found
 

@@ -58,7 +58,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents ``(id, code, language, label, split)``."""
-    return spread(texts(spark, sf_dir).join(labels(spark, sf_dir), "id"))
+    return texts(spark, sf_dir).join(labels(spark, sf_dir), "id")
 
 
 def python_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
