@@ -22,11 +22,11 @@ from quillprint.functions.text import (
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 UNHINTED_PYTHON_LIMIT = 5000
 
-_LINE_START = rf"(?:\A|(?<=[{LINE_BREAK}]))"
-_COMMENT_LINE = rf"{_LINE_START}[{INLINE_SPACE}]*+(?:#|//|/\*|\*)"
-# A \r\n pair is one break: the position between the two is no line start.
+# Both run on the text with a newline in front, so that every line follows a
+# break and the engine can skip quickly to the next one. A \r\n pair is one break.
+_COMMENT_LINE = rf"[{LINE_BREAK}][{INLINE_SPACE}]*+(?:#|//|/\*|\*)"
 _BLANK_LINE = (
-    rf"{_LINE_START}(?!(?<=\r)\n)"
+    rf"[{LINE_BREAK}](?:(?<=\r)\n)?+"
     rf"(?:[{INLINE_SPACE}]*+(?=[{LINE_BREAK}])|[{INLINE_SPACE}]++\z)"
 )
 
@@ -42,11 +42,11 @@ def newline_line_count(c: Column) -> Column:
 
 def comment_line_count(c: Column) -> Column:
     """Lines whose first visible characters are ``#``, ``//``, ``/*`` or ``*``."""
-    return F.regexp_count(c, F.lit(_COMMENT_LINE))
+    return F.regexp_count(F.concat(F.lit("\n"), c), F.lit(_COMMENT_LINE))
 
 
 def blank_line_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(_BLANK_LINE))
+    return F.regexp_count(F.concat(F.lit("\n"), c), F.lit(_BLANK_LINE))
 
 
 def comment_ratio_by_lines(c: Column) -> Column:
@@ -65,7 +65,8 @@ def blank_line_ratio(c: Column) -> Column:
 
 
 def keyword_count(c: Column, keyword: str) -> Column:
-    return F.regexp_count(c, F.lit(rf"(?<![{WORD}]){keyword}(?![{WORD}])"))
+    """Whole-word occurrences. The word comes first: its neighbours are looked at on a hit only."""
+    return F.regexp_count(c, F.lit(rf"{keyword}(?![{WORD}])(?<![{WORD}]{keyword})"))
 
 
 def call_count(c: Column) -> Column:

@@ -58,44 +58,65 @@ _TREE = T.StructType(
 )
 
 
-def _nodes_of(code: str) -> tuple[str, list[tuple]]:
-    """Parse status and (node, parent, depth, type, name) rows of one snippet."""
-    try:
-        tree = ast.parse(code)
-    except Exception:
-        return FAILED, []
-    rows: list[tuple] = []
-    todo: list[tuple[ast.AST, int | None, int]] = [(tree, None, 1)]
-    while todo:
-        node, parent, depth = todo.pop()
-        if depth > DEPTH_LIMIT:
-            return TOO_DEEP, []
-        name = getattr(node, "name", None)
-        me = len(rows)
-        rows.append((me, parent, depth, type(node).__name__, name if isinstance(name, str) else None))
-        todo.extend((child, me, depth + 1) for child in ast.iter_child_nodes(node))
-    return PARSED, rows
+class _NodeColumns:
+    """Node rows of a batch of snippets, held as columns."""
+
+    def __init__(self) -> None:
+        self.parents: list[int | None] = []
+        self.depths: list[int] = []
+        self.types: list[str] = []
+        self.names: list[str | None] = []
+        self.ids: list[int] = []
+
+    def cut(self, size: int) -> None:
+        for column in vars(self).values():
+            del column[size:]
+
+    def read(self, code: str) -> str:
+        """Add the nodes of one snippet in preorder; return its status."""
+        try:
+            tree = ast.parse(code)
+        except Exception:
+            return FAILED
+        start = len(self.ids)
+        todo: list[tuple] = [(tree, None, 1)]
+        while todo:
+            node, parent, depth = todo.pop()
+            if depth > DEPTH_LIMIT:
+                self.cut(start)
+                return TOO_DEEP
+            me = len(self.ids) - start
+            name = getattr(node, "name", None)
+            self.ids.append(me)
+            self.parents.append(parent)
+            self.depths.append(depth)
+            self.types.append(type(node).__name__)
+            self.names.append(name if isinstance(name, str) else None)
+            if node._fields:
+                children = [(child, me, depth + 1) for child in ast.iter_child_nodes(node)]
+                todo.extend(reversed(children))
+        return PARSED
+
+    def to_arrow(self) -> pa.StructArray:
+        columns = (self.ids, self.parents, self.depths, self.types, self.names)
+        return pa.StructArray.from_arrays(
+            [pa.array(values, field.type) for values, field in zip(columns, _NODE)],
+            fields=list(_NODE),
+        )
 
 
 @arrow_udf(_TREE)
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     warnings.simplefilter("ignore", SyntaxWarning)
     for codes in batches:
-        statuses, offsets, flat = [], [0], []
+        nodes, statuses, offsets = _NodeColumns(), [], [0]
         for code in codes.to_pylist():
-            status, rows = (None, []) if code is None else _nodes_of(code)
-            statuses.append(status)
-            flat.extend(rows)
-            offsets.append(len(flat))
-        columns = zip(*flat) if flat else [[]] * len(_NODE)
-        nodes = pa.StructArray.from_arrays(
-            [pa.array(values, field.type) for values, field in zip(columns, _NODE)],
-            fields=list(_NODE),
-        )
+            statuses.append(None if code is None else nodes.read(code))
+            offsets.append(len(nodes.ids))
         yield pa.StructArray.from_arrays(
             [
                 pa.array(statuses, pa.string()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes.to_arrow()),
             ],
             names=["status", "nodes"],
         )
@@ -112,8 +133,8 @@ def syntax_tree(code: Column) -> Column:
 
 def syntax_nodes(df: DataFrame, key: str = "id", code_col: str = "code") -> DataFrame:
     """Node table ``(key, node_id, parent_id, depth, node_type, name)``."""
-    return (
-        df.select(key, syntax_tree(F.col(code_col)).alias("_tree"))
-        .where(F.col("_tree.status") == PARSED)
-        .select(key, F.inline("_tree.nodes"))
-    )
+    trees = df.select(key, syntax_tree(F.col(code_col)).alias("_tree"))
+    # The outer form keeps the optimizer from deriving a filter on the array,
+    # which it would push below the parser and so parse everything twice.
+    nodes = trees.select(key, F.inline_outer("_tree.nodes"))
+    return nodes.where(F.col("node_id").isNotNull())
