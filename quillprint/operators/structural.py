@@ -102,9 +102,9 @@ def _occurrences(types: Column, wanted: Sequence[str]) -> Column:
     return F.size(types) - F.size(rest)
 
 
-def _tree_counts(types: Column, depths: Column, names: Column) -> dict[str, Column]:
+def _tree_counts(types: Column, depth: Column, names: Column) -> dict[str, Column]:
     counts = {n: _occurrences(types, wanted) for n, wanted in PYTHON_NODE_TYPES.items()}
-    counts["max_ast_depth"] = F.array_max(depths)
+    counts["max_ast_depth"] = depth
     counts["avg_identifier_len"] = lexical.identifier_mean_length(names)
     counts["num_unique_identifiers"] = lexical.identifier_distinct(names)
     return counts
@@ -135,16 +135,18 @@ def structural_features(
     routed = routed.withColumn("_python", lexical.python_route(code, F.col("_language")))
     parsed = routed.withColumn("_tree", syntax_tree(F.when(F.col("_python"), code)))
 
-    nodes = F.col("_tree.nodes")
-    defined = F.filter(nodes, lambda n: n["node_type"].isin(*DOUBLE_NAMED))["name"]
+    types, names = F.col("_tree.types"), F.col("_tree.names")
+    counted = [t for wanted in PYTHON_NODE_TYPES.values() for t in wanted]
+    defined = F.filter(names, lambda _, i: F.get(types, i).isin(*DOUBLE_NAMED))
     staged = parsed.select(
         *keep,
         "_code",
         "_python",
         F.col("_tree.status").alias("_status"),
-        nodes["node_type"].alias("_types"),
-        nodes["depth"].alias("_depths"),
-        F.concat(F.array_compact(nodes["name"]), defined).alias("_names"),
+        # Most nodes are of types nobody counts; one pass drops them.
+        F.filter(types, lambda t: t.isin(*counted)).alias("_types"),
+        F.array_max("_tree.depths").alias("_depth"),
+        F.concat(F.array_compact(names), defined).alias("_names"),
         # Only rows that need text counts pay for the identifier array.
         F.when(
             F.col("_tree.status").isNull() | (F.col("_tree.status") != PARSED),
@@ -154,7 +156,7 @@ def structural_features(
 
     status = F.coalesce(F.col("_status"), F.lit(""))
     has_tree, too_deep = status == PARSED, status == TOO_DEEP
-    tree = _tree_counts(F.col("_types"), F.col("_depths"), F.col("_names"))
+    tree = _tree_counts(F.col("_types"), F.col("_depth"), F.col("_names"))
     text = lexical_counts(code, ids)
     features: dict[str, Column] = {
         n: F.when(has_tree, c).otherwise(text.get(n, F.lit(0))) for n, c in tree.items()
