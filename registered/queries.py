@@ -51,8 +51,9 @@ def length_by_label(spark, sf_dir):
 
 @query
 def load_task_split(spark, sf_dir):
-    rows = derived.labelled_texts(spark, sf_dir)
-    return columns.int_label(rows).select("id", "language", "label", "split", F.md5("code").alias("code_md5"))
+    # Digests are taken before the join, which then moves no text.
+    narrow = derived.texts(spark, sf_dir).select("id", "language", F.md5("code").alias("code_md5"))
+    return columns.int_label(narrow.join(derived.labels(spark, sf_dir), "id"))
 
 
 @query
@@ -67,8 +68,10 @@ def split_sizes(spark, sf_dir):
 
 @query
 def head_rows(spark, sf_dir):
-    rows = derived.texts(spark, sf_dir).join(derived.labels(spark, sf_dir), "id")
-    return rows.orderBy("id").limit(5).select("id", "label", "code")
+    # The first keys are found on narrow columns; only their texts are read.
+    texts = derived.texts(spark, sf_dir)
+    first = texts.select("id").join(derived.labels(spark, sf_dir), "id").orderBy("id").limit(5)
+    return texts.join(first, "id").select("id", "label", "code")
 
 
 # --- text and lexical expressions -----------------------------------------
@@ -413,7 +416,10 @@ def vocab_topk(spark, sf_dir):
 
 def _encoded(spark, sf_dir, pad):
     source = derived.texts(spark, sf_dir)
-    vocab = sequences.vocabulary(source, size=2000)
+    # The vocabulary is read three times below: count it once.
+    vocab = artifacts.cached_table(
+        spark, fresh_path(spark, "vocabulary"), lambda: sequences.vocabulary(source, size=2000)
+    )
     rows = sequences.encode_sequences(source, vocab, max_length=64, pad=pad)
     return rows.select(
         "id",
