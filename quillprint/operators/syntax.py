@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PARSE_LIMIT = 10_000
 DEPTH_LIMIT = 992
 
+NODES_PER_BATCH = 200_000
+
 PARSED, FAILED, TOO_DEEP = "parsed", "failed", "too_deep"
 
 # Nodes travel as parallel arrays, one element per node in preorder: far cheaper
@@ -80,25 +82,39 @@ class _Nodes:
         return PARSED
 
 
-@arrow_udf(_TREE)
-def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _tree_rows(statuses: list, offsets: list[int], nodes: _Nodes) -> pa.StructArray:
+    cuts = pa.array(offsets, pa.int32())
+    columns = (
+        (nodes.parents, pa.int64()),
+        (nodes.depths, pa.int32()),
+        (nodes.types, pa.string()),
+        (nodes.names, pa.string()),
+    )
+    arrays = [pa.ListArray.from_arrays(cuts, pa.array(v, kind)) for v, kind in columns]
+    return pa.StructArray.from_arrays(
+        [pa.array(statuses, pa.string()), *arrays], names=_TREE.names
+    )
+
+
+def _parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Trees of all snippets, handed over whenever enough nodes have gathered.
+
+    That bounds a worker's memory by nodes, however many snippets Spark puts
+    into one batch.
+    """
     warnings.simplefilter("ignore", SyntaxWarning)
     for codes in batches:
         nodes, statuses, offsets = _Nodes(), [], [0]
-        for code in codes.to_pylist():
-            statuses.append(None if code is None else nodes.read(code))
+        for code in codes:
+            statuses.append(nodes.read(code.as_py()) if code.is_valid else None)
             offsets.append(len(nodes.types))
-        cuts = pa.array(offsets, pa.int32())
-        columns = (
-            (nodes.parents, pa.int64()),
-            (nodes.depths, pa.int32()),
-            (nodes.types, pa.string()),
-            (nodes.names, pa.string()),
-        )
-        arrays = [pa.ListArray.from_arrays(cuts, pa.array(v, kind)) for v, kind in columns]
-        yield pa.StructArray.from_arrays(
-            [pa.array(statuses, pa.string()), *arrays], names=_TREE.names
-        )
+            if offsets[-1] >= NODES_PER_BATCH:
+                yield _tree_rows(statuses, offsets, nodes)
+                nodes, statuses, offsets = _Nodes(), [], [0]
+        yield _tree_rows(statuses, offsets, nodes)
+
+
+_parse = arrow_udf(_parse_batches, _TREE)
 
 
 def syntax_tree(code: Column) -> Column:

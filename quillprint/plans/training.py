@@ -10,7 +10,8 @@ from quillprint.operators.structural import structural_features
 from quillprint.operators.trees import feature_importance, train_trees
 from quillprint.plans import layout
 from quillprint.sources.artifacts import cached_tables, save_model
-from quillprint.sources.metrics import write_records, write_summary
+from quillprint.sources.metrics import read_records, write_records, write_summary
+from quillprint.sources.paths import open_or_none
 from quillprint.sources.predictions import write_predictions
 from quillprint.sources.tasks import load_task
 
@@ -63,10 +64,25 @@ JOBS = {"linear": train_linear_job, "trees": train_trees_job}
 
 
 def train(
-    spark: SparkSession, model: str, task: str, data_root: str, experiments: str, **options
+    spark: SparkSession,
+    model: str,
+    task: str,
+    data_root: str,
+    experiments: str,
+    skip_if_trained: bool = False,
+    **options,
 ) -> DataFrame:
-    """Fit ``model`` on ``task``; dev metrics, predictions and the model are kept."""
+    """Fit ``model`` on ``task``; dev metrics, predictions and the model are kept.
+
+    With ``skip_if_trained`` an experiment that finished before is not run
+    again: the metrics it left, which are written last, are returned.
+    """
     if model not in JOBS:
         raise ValueError(f"unknown model {model!r}; valid: {', '.join(JOBS)}")
+    folder = layout.experiment(experiments, model, task)
+    if skip_if_trained:
+        left = open_or_none(lambda path: read_records(spark, path), f"{folder}/{layout.METRICS}")
+        if left is not None:
+            return left
     train_df, dev_df, _ = load_task(spark, data_root, task)
-    return JOBS[model](train_df, dev_df, layout.experiment(experiments, model, task), **options)
+    return JOBS[model](train_df, dev_df, folder, **options)

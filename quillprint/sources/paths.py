@@ -16,6 +16,8 @@ def open_or_none(read: Callable[[str], DataFrame], path: str) -> DataFrame | Non
     """The table at ``path``, or None where nothing is there."""
     try:
         return read(path)
+    except FileNotFoundError:
+        return None
     except AnalysisException as error:
         if is_missing(error):
             return None

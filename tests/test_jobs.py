@@ -39,6 +39,8 @@ def experiments(spark, data_root, tmp_path_factory):
     linear = train(spark, "linear", "task_a", data_root, out, buckets=1 << 10, epochs=2).first()
     trees = train(spark, "trees", "task_a", data_root, out, rounds=3).first()
     assert linear["f1_macro"] == 1 and trees["f1_macro"] == 1
+    again = train(spark, "trees", "task_a", "/nowhere", out, skip_if_trained=True).first()
+    assert again["accuracy"] == trees["accuracy"]
     return out
 
 

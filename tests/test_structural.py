@@ -1,8 +1,10 @@
 """Golden snippets, routes and edge inputs of the structural row."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillprint.operators import syntax
 from quillprint.operators.lengths import LENGTH_COLUMNS, length_features
 from quillprint.operators.nodes import node_profile, python_node_profile
 from quillprint.operators.structural import (
@@ -147,6 +149,15 @@ def test_node_table_agrees_with_row_counts(golden):
     assert [(r["node_type"], r["depth"]) for r in roots] == [("Module", 1)]
 
 
+def test_worker_batches_are_bounded(monkeypatch):
+    codes = pa.array(["x = 1", None, "def f(:", "y = g(2)"] * 3)
+    whole = pa.concat_arrays(list(syntax._parse_batches(iter([codes, codes]))))
+    monkeypatch.setattr(syntax, "NODES_PER_BATCH", 10)
+    parts = list(syntax._parse_batches(iter([codes, codes])))
+    assert len(parts) > 4 and pa.concat_arrays(parts).equals(whole)
+    assert whole.field("status").to_pylist()[:4] == ["parsed", None, "failed", "parsed"]
+
+
 def test_generic_profile(spark):
     rows = [
         (1, 0, None, 1, "program", None),
