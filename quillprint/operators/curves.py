@@ -100,39 +100,40 @@ def _recall() -> Column:
     return F.coalesce(_rate(F.col("tp"), F.col("positives")), F.lit(1.0))
 
 
-def roc_points(
+def sweep(
     preds: DataFrame,
     keys: Sequence[str] = (),
     score: str = "y_proba",
     label: str = "y_true",
     ranges: int = 256,
 ) -> DataFrame:
-    """``(keys, threshold, fpr, tpr)`` with the start point at an infinite threshold."""
-    swept = cumulative_counts(score_counts(preds, keys, score, label), keys, ranges)
-    points = swept.select(
-        *keys,
+    """Cumulative counts of predictions: what all curves of a table are drawn from.
+
+    Where several curves are wanted of large predictions, write this table once
+    and pass it to the ``*_of_sweep`` functions.
+    """
+    return cumulative_counts(score_counts(preds, keys, score, label), keys, ranges)
+
+
+def _at_top() -> Column:
+    """Whether a threshold is the highest of its group."""
+    return (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+
+
+def roc_of_sweep(swept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    point = F.struct(
         F.col("score").alias("threshold"),
         _rate(F.col("fp"), F.col("negatives")).alias("fpr"),
         _rate(F.col("tp"), F.col("positives")).alias("tpr"),
-        # The highest threshold of each group also yields the start point.
-        ((F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))).alias("_first"),
     )
-    start = F.struct(F.lit(INFINITY).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    point = F.struct("threshold", "fpr", "tpr")
-    rows = F.when(F.col("_first"), F.array(start, point)).otherwise(F.array(point))
-    return points.select(*keys, F.inline(rows))
+    start = F.struct(
+        F.lit(INFINITY).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    )
+    rows = F.when(_at_top(), F.array(start, point)).otherwise(F.array(point))
+    return swept.select(*keys, F.inline(rows))
 
 
-def pr_points(
-    preds: DataFrame,
-    keys: Sequence[str] = (),
-    score: str = "y_proba",
-    label: str = "y_true",
-    ranges: int = 256,
-) -> DataFrame:
-    """``(keys, threshold, precision, recall)`` with the end point (1, 0)."""
-    swept = cumulative_counts(score_counts(preds, keys, score, label), keys, ranges)
-    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+def pr_of_sweep(swept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     point = F.struct(
         F.col("score").alias("threshold"),
         _rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -143,33 +144,20 @@ def pr_points(
         F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"),
     )
-    rows = F.when(first, F.array(point, end)).otherwise(F.array(point))
+    rows = F.when(_at_top(), F.array(point, end)).otherwise(F.array(point))
     return swept.select(*keys, F.inline(rows))
 
 
-def curve_areas(
-    preds: DataFrame,
-    keys: Sequence[str] = (),
-    score: str = "y_proba",
-    label: str = "y_true",
-    ranges: int = 256,
-) -> DataFrame:
-    """Trapezoid areas ``roc_auc`` and ``pr_auc`` per group.
-
-    Each threshold adds one trapezoid, whose other side follows from its own
-    counts: the point before has ``tp - pos`` and ``fp - neg``. The ROC area is
-    null when one class is missing.
+def areas_of_sweep(swept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each threshold adds one trapezoid, whose other side follows from its own
+    counts: the point before has ``tp - pos`` and ``fp - neg``.
     """
-    swept = cumulative_counts(score_counts(preds, keys, score, label), keys, ranges)
     pos, neg, tp, fp = (F.col(c) for c in ("pos", "neg", "tp", "fp"))
     tp_before, fp_before = tp - pos, fp - neg
     precision = _rate(tp, tp + fp)
     precision_before = F.coalesce(_rate(tp_before, tp_before + fp_before), F.lit(1.0))
-    at_start = tp_before + fp_before == 0
     no_positives = F.col("positives") == 0
-    step = F.when(no_positives, at_start.cast("double")).otherwise(
-        _rate(pos, F.col("positives"))
-    )
+    step = F.when(no_positives, _at_top().cast("double")).otherwise(_rate(pos, F.col("positives")))
     # Twice the ROC area in whole units: exact up to the final division.
     # Decimals, since a product of two row counts can pass the range of a long.
     wide = "decimal(19,0)"
@@ -179,3 +167,24 @@ def curve_areas(
         F.try_divide(roc_units.cast("double") / 2, square).alias("roc_auc"),
         F.sum(step * (precision + precision_before) / 2).alias("pr_auc"),
     )
+
+
+def roc_points(preds: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """``(keys, threshold, fpr, tpr)`` with the start point at an infinite threshold.
+
+    ``options`` are those of ``sweep``, here and below.
+    """
+    return roc_of_sweep(sweep(preds, keys, **options), keys)
+
+
+def pr_points(preds: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """``(keys, threshold, precision, recall)`` with the end point (1, 0)."""
+    return pr_of_sweep(sweep(preds, keys, **options), keys)
+
+
+def curve_areas(preds: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """Trapezoid areas ``roc_auc`` and ``pr_auc`` per group.
+
+    The ROC area is null when one class is missing.
+    """
+    return areas_of_sweep(sweep(preds, keys, **options), keys)

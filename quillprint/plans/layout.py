@@ -12,8 +12,12 @@ MODEL = "model"
 HISTORY = "history.csv"
 TRAIN_FEATURES = "features_train.parquet"
 DEV_FEATURES = "features_dev.parquet"
-TEXT_FEATURES = "features_text.parquet"
 
 
 def experiment(root: str, model: str, task: str) -> str:
     return f"{root.rstrip('/')}/{model}_{task}"
+
+
+def text_features(folder: str, buckets: int) -> str:
+    """Vectors of another width are another table."""
+    return f"{folder}/features_text_{buckets}.parquet"

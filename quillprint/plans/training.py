@@ -8,6 +8,7 @@ from quillprint.operators.confusion import model_metrics
 from quillprint.operators.linear import HISTORY_SCHEMA, train_linear
 from quillprint.operators.structural import structural_features
 from quillprint.operators.trees import feature_importance, train_trees
+from quillprint.operators.vectors import DEFAULT_BUCKETS
 from quillprint.plans import layout
 from quillprint.sources.artifacts import cached_tables, save_model
 from quillprint.sources.metrics import read_records, write_records, write_summary
@@ -28,12 +29,12 @@ def _finish(predictions: DataFrame, folder: str, metrics: list[str]) -> DataFram
 
 
 def train_linear_job(
-    train_df: DataFrame, dev_df: DataFrame, folder: str, **options
+    train_df: DataFrame, dev_df: DataFrame, folder: str, buckets: int = DEFAULT_BUCKETS, **options
 ) -> DataFrame:
+    """Feature vectors are kept in ``folder`` and read back by later runs."""
     spark = train_df.sparkSession
-    fit = train_linear(
-        train_df, dev_df, features_path=f"{folder}/{layout.TEXT_FEATURES}", **options
-    )
+    path = layout.text_features(folder, buckets)
+    fit = train_linear(train_df, dev_df, buckets, features_path=path, **options)
     save_model(fit.model, f"{folder}/{layout.MODEL}")
     history = spark.createDataFrame(fit.history, HISTORY_SCHEMA)
     write_summary(history, f"{folder}/{layout.HISTORY}")

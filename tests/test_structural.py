@@ -200,3 +200,19 @@ def test_expressions_accept_a_stream(spark, golden, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("structure").where(F.col("id") == "g1").first()["max_ast_depth"] == 7
+
+
+def test_hot_key_profile(spark):
+    """A third of all nodes under one key."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id"),
+        F.col("id").alias("node_id"),
+        F.lit(None).cast("long").alias("parent_id"),
+        (F.col("id") % 9).cast("int").alias("depth"),
+        F.when(F.col("id") % 2 == 0, "identifier").otherwise("call").alias("node_type"),
+        F.concat(F.lit("n"), F.col("id") % 50).alias("name"),
+    )
+    hot = node_profile(rows).where("id = 0").first()
+    assert hot["num_calls"] == 5000 and hot["most_common_node_type_count"] == 5000
+    assert hot["num_unique_identifiers"] == 25 and hot["max_ast_depth"] == 6
+    assert python_node_profile(rows).where("id = 0").first()["num_unique_identifiers"] == 50
