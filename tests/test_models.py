@@ -1,10 +1,8 @@
 """Sequences, vectors, trainers and scorers."""
 
-import re
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quillprint.functions import argmax_label, label_text_to_id, softmax_probability
