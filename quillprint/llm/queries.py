@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillprint.llm import chat, embeddings, jaccard, lm, packing, pieces, pii, ranking, rules, toxicity
@@ -64,9 +64,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.personal_data(docs)
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(pii.span_digest(base), 256).alias("base_sha256"), pii.span_digest(F.col("pii")).alias("spans")
+        "doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.span_digest(base), 256).alias("base_sha256"), pii.span_digest(F.col("pii")).alias("spans")
     )
 
 
