@@ -26,7 +26,7 @@ CAPACITY = 2048
 OPEN_SEQUENCES = 512
 PIECES_PER_TASK = 250_000
 #: Distinct words whose ids a Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 # White space as the tokenizer's pattern understands it.
 BLANK = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
@@ -52,11 +52,16 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({c for doc in chunks for c in doc if c not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        new = {c for doc in chunks for c in doc if c not in known}
+        # A stop or comma right after a letter at the end of a chunk is always encoded by itself.
+        ended = [c for c in new if c[-1] in ".," and len(c) > 1 and c[-2].isalpha()]
+        plain = list((new.difference(ended) | {c[:-1] for c in ended} | {".", ","}) - known.keys())
+        for at in range(0, len(plain), 10_000):
+            part = plain[at : at + 10_000]
             for chunk, code in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[chunk] = np.array(code.ids, "<u4").tobytes()
+        for c in ended:
+            known[c] = known[c[:-1]] + known[c[-1]]
         return [b"".join([known[c] for c in doc]) for doc in chunks]
 
 
