@@ -17,10 +17,8 @@ from quillprint.functions.text import (
     split_line_count,
 )
 
-# The identifier rule and the length below which unhinted code
-# is still tried as Python.
+# Fixed value: the identifier rule.
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
-UNHINTED_PYTHON_LIMIT = 5000
 
 # Both run on the text with a newline in front, so that every line follows a
 # break and the engine can skip quickly to the next one. A \r\n pair is one break.
@@ -91,14 +89,17 @@ def identifier_distinct(ids: Column) -> Column:
     return F.size(F.array_distinct(ids))
 
 
-def python_route(c: Column, language: Column) -> Column:
-    """Whether a snippet is to be read as Python; ``language`` is normalised."""
+def python_route(c: Column, language: Column, unhinted_limit: int | None = None) -> Column:
+    """Whether a snippet is to be read as Python; ``language`` is normalised.
+
+    With an ``unhinted_limit``, longer snippets need the language to say so.
+    """
     looks_python = (
         F.contains(c, F.lit("def "))
         | F.contains(c, F.lit("class "))
         | F.contains(c, F.lit("import "))
         | (F.contains(c, F.lit("if ")) & F.contains(c, F.lit(":")))
     )
-    return language.isin("python", "py") | (
-        (F.length(c) < UNHINTED_PYTHON_LIMIT) & looks_python
-    )
+    if unhinted_limit is not None:
+        looks_python = (F.length(c) < unhinted_limit) & looks_python
+    return language.isin("python", "py") | looks_python

@@ -50,10 +50,20 @@ def confusion_matrix(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def confusion_wide(
-    preds: DataFrame, labels: Sequence[int] = (0, 1), keys: Sequence[str] = ()
+    preds: DataFrame, labels: Sequence[int] | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per true label with a ``pred_<label>`` column per predicted one."""
-    cells = confusion_counts(preds, keys)
+    """One row per true or predicted label with a ``pred_<label>`` column each.
+
+    Without ``labels`` the columns are those of the cells, looked up in one small
+    job. With them, a label outside the list fails the job: no cell is lost.
+    """
+    cells = confusion_matrix(preds, keys)
+    if labels is None:
+        labels = [r[0] for r in cells.select("y_true").distinct().orderBy("y_true").collect()]
+    else:
+        known = F.col("y_pred").isin(*labels) & F.col("y_true").isin(*labels)
+        message = F.concat(F.lit("a label is not listed: "), F.to_json(F.struct("y_true", "y_pred")))
+        cells = cells.withColumn("n", F.when(known, F.col("n")).otherwise(F.raise_error(message).cast("long")))
     wide = cells.groupBy(*keys, "y_true").pivot("y_pred", list(labels)).agg(F.sum("n"))
     return wide.select(
         *keys,

@@ -71,6 +71,9 @@ def train_linear(
     train_set = table.where("part = 'train'").select("label", "features")
     train_set = train_set.persist(StorageLevel.MEMORY_AND_DISK)
     dev_set = table.where("part = 'dev'").select("id", "label", "features")
+    odd = table.where("label IS NULL OR label NOT IN (0, 1)").select("label").first()
+    if odd:
+        raise ValueError(f"labels must be 0 or 1, not {odd['label']}")
     best, best_f1, best_at, history, idle = None, -1.0, 0, [], 0
     try:
         for epoch in range(1, epochs + 1):

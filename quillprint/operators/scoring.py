@@ -39,7 +39,9 @@ def prediction_rows(
 def score_fitted(
     features: DataFrame, model: Transformer, threshold: float = 0.5, key: str = "id"
 ) -> DataFrame:
-    """Prediction rows of a fitted classifier over a feature table."""
+    """Prediction rows of a fitted two-class classifier over a feature table."""
+    if getattr(model, "numClasses", 2) > 2:
+        raise ValueError(f"the threshold decides between two classes, the model has {model.numClasses}")
     scored = model.transform(features)
     scored = scored.withColumn("_p", vector_to_array("probability")[1])
     return prediction_rows(scored, threshold_label(F.col("_p"), threshold), F.col("_p"), key)
@@ -101,9 +103,9 @@ def score_label_texts(
 
 
 def pair_labels(preds: DataFrame, labels: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
-    """Predictions with the true label of the same key."""
+    """Predictions with the true label of the same key; null where there is none."""
     truth = labels.select(key, F.col(label).cast("int").alias("y_true"))
-    return preds.drop("y_true").join(truth, key)
+    return preds.drop("y_true").join(truth, key, "left")
 
 
 def pair_scores(preds: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:

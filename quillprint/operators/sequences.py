@@ -16,9 +16,6 @@ from quillprint.functions.text import WHITESPACE, WORD, clean_code, text_or_empt
 PAD_ID, UNKNOWN_ID, START_ID, END_ID = 0, 1, 2, 3
 RESERVED_IDS = 4
 
-# A vocabulary up to this many characters is copied to every executor.
-BROADCAST_CHARS = 32 * 1024 * 1024
-
 
 def code_tokens(code: Column) -> Column:
     """Words and single punctuation marks, in order."""
@@ -42,11 +39,6 @@ def vocabulary(df: DataFrame, size: int = 30_000, code_col: str = "code") -> Dat
     return top.select("token", "n", (rank + RESERVED_IDS - 1).cast("int").alias("token_id"))
 
 
-def _small_enough(vocab: DataFrame) -> bool:
-    chars = vocab.agg(F.sum(F.length("token") + 16)).first()[0]
-    return (chars or 0) <= BROADCAST_CHARS
-
-
 def encode_sequences(
     df: DataFrame,
     vocab: DataFrame,
@@ -60,17 +52,17 @@ def encode_sequences(
 
     Start and end ids count towards the length. Without ``pad`` the arrays end
     with the sequence. At most ``max_length`` tokens of a row are looked up
-    and gathered again, one small group per key. A vocabulary too large to
-    copy is joined by shuffle, where adaptive execution splits hot tokens.
+    and gathered again, one small group per input row, so rows with equal or
+    null keys stay apart. Whether the vocabulary is copied or shuffled is left
+    to the optimizer, and adaptive execution splits hot tokens.
     """
     carried = [F.col(label_col).cast("int").alias("labels")] if label_col in df.columns else []
     names = ["labels"] if carried else []
     head = F.slice(code_tokens(text_or_empty(F.col(code_col))), 1, max_length - 2)
-    tokens = df.select(key, *carried, F.posexplode_outer(head).alias("_pos", "token"))
-    lookup = vocab.select("token", "token_id")
-    if _small_enough(vocab):
-        lookup = F.broadcast(lookup)
-    found = tokens.join(lookup, "token", "left").select(
+    tagged = df.withColumn("_row", F.monotonically_increasing_id())
+    tokens = tagged.select("_row", key, *carried, F.posexplode_outer(head).alias("_pos", "token"))
+    found = tokens.join(vocab.select("token", "token_id"), "token", "left").select(
+        "_row",
         key,
         *names,
         F.when(
@@ -78,7 +70,7 @@ def encode_sequences(
             F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")),
         ).alias("_item"),
     )
-    gathered = found.groupBy(key, *names).agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    gathered = found.groupBy("_row", key, *names).agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     ids = F.concat(
         F.array(F.lit(START_ID)), F.col("_items")["id"], F.array(F.lit(END_ID))
     )

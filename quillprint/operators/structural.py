@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillprint.functions import lexical
 from quillprint.functions.text import normalize_language, text_or_empty
 from quillprint.operators.columns import int_label
-from quillprint.operators.syntax import FAILED, PARSE_LIMIT, PARSED, TOO_DEEP, syntax_tree
+from quillprint.operators.syntax import PARSED, syntax_tree
 
 STRUCTURAL_COLUMNS = [
     "avg_identifier_len",
@@ -116,12 +116,16 @@ def structural_features(
     lang_col: str = "language",
     keep: Sequence[str] = ("id", "label"),
     with_status: bool = False,
+    parse_limit: int | None = None,
+    unhinted_limit: int | None = None,
 ) -> DataFrame:
     """Structural feature table: ``keep`` columns that exist, then the 21 features.
 
-    A snippet read as Python is parsed. If that fails, or it is too long to
-    parse, the text counts stand in and ``parse_error`` is 1. If its tree is
-    too deep to visit, only the text-only row is left.
+    A snippet read as Python is parsed, however long it is and however deep its
+    tree. If that fails, the text counts stand in and ``parse_error`` is 1;
+    measures of the text itself never depend on the tree. ``parse_limit`` treats
+    longer snippets as if parsing had failed, ``unhinted_limit`` reads snippets
+    of that length or more as Python only where the language says so; both are off.
     """
     keep = [c for c in keep if c in df.columns]
     language = F.col(lang_col) if lang_col in df.columns else F.lit(None).cast("string")
@@ -132,8 +136,8 @@ def structural_features(
         text_or_empty(F.col(code_col)).alias("_code"),
         normalize_language(language).alias("_language"),
     )
-    routed = routed.withColumn("_python", lexical.python_route(code, F.col("_language")))
-    parsed = routed.withColumn("_tree", syntax_tree(F.when(F.col("_python"), code)))
+    routed = routed.withColumn("_python", lexical.python_route(code, F.col("_language"), unhinted_limit))
+    parsed = routed.withColumn("_tree", syntax_tree(F.when(F.col("_python"), code), parse_limit))
 
     types, names = F.col("_tree.types"), F.col("_tree.names")
     counted = [t for wanted in PYTHON_NODE_TYPES.values() for t in wanted]
@@ -155,28 +159,20 @@ def structural_features(
     )
 
     status = F.coalesce(F.col("_status"), F.lit(""))
-    has_tree, too_deep = status == PARSED, status == TOO_DEEP
+    has_tree = status == PARSED
     tree = _tree_counts(F.col("_types"), F.col("_depth"), F.col("_names"))
     text = lexical_counts(code, ids)
     features: dict[str, Column] = {
         n: F.when(has_tree, c).otherwise(text.get(n, F.lit(0))) for n, c in tree.items()
     }
 
-    def measured(c: Column) -> Column:
-        return F.when(too_deep, F.lit(0)).otherwise(c)
-
-    empty = code == ""
-    features["parse_error"] = (
-        F.col("_python") & ((F.length(code) > PARSE_LIMIT) | (status == FAILED))
-    ).cast("int")
-    features["char_count"] = measured(lexical.char_count(code))
-    features["line_count"] = measured(F.when(empty, 0).otherwise(lexical.newline_line_count(code)))
-    features["blank_line_ratio"] = measured(lexical.blank_line_ratio(code))
-    features["comment_ratio"] = F.when(too_deep, lexical.comment_ratio_by_lines(code)).otherwise(
-        lexical.comment_ratio_by_newlines(code)
-    )
-    for n, c in punctuation_counts(code).items():
-        features[n] = measured(c)
+    # A Python snippet without a tree failed, or was too long for the limit.
+    features["parse_error"] = (F.col("_python") & ~has_tree).cast("int")
+    features["char_count"] = lexical.char_count(code)
+    features["line_count"] = F.when(code == "", 0).otherwise(lexical.newline_line_count(code))
+    features["blank_line_ratio"] = lexical.blank_line_ratio(code)
+    features["comment_ratio"] = lexical.comment_ratio_by_newlines(code)
+    features |= punctuation_counts(code)
 
     out = staged.select(
         *keep,

@@ -21,14 +21,9 @@ from pyspark.sql.functions import arrow_udf
 # The parser travels to the workers by value: they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# The longest snippet that is parsed, and the deepest tree that
-# a recursive visit under the interpreter's default limit gets through.
-PARSE_LIMIT = 10_000
-DEPTH_LIMIT = 992
-
 NODES_PER_BATCH = 200_000
 
-PARSED, FAILED, TOO_DEEP = "parsed", "failed", "too_deep"
+PARSED, FAILED = "parsed", "failed"
 
 # Nodes travel as parallel arrays, one element per node in preorder: far cheaper
 # to copy and to count over than an array of structs.
@@ -63,10 +58,6 @@ class _Nodes:
         todo: list[tuple] = [(tree, None, 1)]
         while todo:
             node, parent, depth = todo.pop()
-            if depth > DEPTH_LIMIT:
-                for column in (parents, depths, types, names):
-                    del column[start:]
-                return TOO_DEEP
             me, fields = len(types) - start, node._fields
             name = node.name if "name" in fields else None
             parents.append(parent)
@@ -117,19 +108,22 @@ def _parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 _parse = arrow_udf(_parse_batches, _TREE)
 
 
-def syntax_tree(code: Column) -> Column:
+def syntax_tree(code: Column, parse_limit: int | None = None) -> Column:
     """``struct<status, parents, depths, types, names>`` of Python code.
 
-    Snippets over the parse limit get a null status. Pass null for rows that
-    are not Python: they cross to the worker as nulls and cost no bytes.
+    With a ``parse_limit``, longer snippets are not parsed and get a null
+    status. Pass null for rows that are not Python: they cross to the worker
+    as nulls and cost no bytes.
     """
-    return _parse(F.when(F.length(code) <= PARSE_LIMIT, code))
+    return _parse(code if parse_limit is None else F.when(F.length(code) <= parse_limit, code))
 
 
-def syntax_nodes(df: DataFrame, key: str = "id", code_col: str = "code") -> DataFrame:
+def syntax_nodes(
+    df: DataFrame, key: str = "id", code_col: str = "code", parse_limit: int | None = None
+) -> DataFrame:
     """Node table ``(key, node_id, parent_id, depth, node_type, name)``."""
     tree = F.col("_tree")
-    trees = df.select(key, syntax_tree(F.col(code_col)).alias("_tree"))
+    trees = df.select(key, syntax_tree(F.col(code_col), parse_limit).alias("_tree"))
     # The outer form keeps the optimizer from deriving a filter on the array,
     # which it would push below the parser and so parse everything twice.
     nodes = trees.select(

@@ -134,8 +134,6 @@ TREE = {
     "num_try": "1",
     "max_ast_depth": "CASE WHEN words > 0 THEN 6 ELSE 5 END",
 }
-IS_PYTHON = "(id % 3 = 0 OR length(code) < 5000)"
-HAS_TREE = f"({IS_PYTHON} AND length(code) <= 10000)"
 
 
 def _counts(model: str = "model, split") -> str:
@@ -215,7 +213,7 @@ VOCAB = f"""
 texts AS ({TEXTS}),
 vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM (
     SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM texts)
-    GROUP BY token ORDER BY n DESC, token LIMIT 2000))
+    GROUP BY token ORDER BY n DESC, token LIMIT 30000))
 """
 
 
@@ -272,7 +270,7 @@ SELECT id, {BY_LINES} AS by_lines, n_comment / n_lines::DOUBLE AS by_newlines, n
 FROM base""",
     "python_route": f"""
 SELECT id, coalesce(lower(trim(language)), '') AS language,
-       coalesce(language, '') = 'Python ' OR (length(code) < 5000 AND (contains(code, 'def ') OR contains(code, 'class ')
+       coalesce(language, '') = 'Python ' OR ((contains(code, 'def ') OR contains(code, 'class ')
        OR contains(code, 'import ') OR (contains(code, 'if ') AND contains(code, ':')))) AS is_python
 FROM ({PYTHON})""",
     "language_grammar": """
@@ -288,13 +286,11 @@ FROM base""",
     "structural_python": f"""
 WITH {lines_of(PYTHON)}
 SELECT id, {doubles(
-    {n: f"CASE WHEN {HAS_TREE} THEN {TREE[n]} ELSE {LEXICAL[n]} END" for n in TREE}
-    | LAYOUT
-    | {'parse_error': f"CASE WHEN {IS_PYTHON} AND length(code) > 10000 THEN 1 ELSE 0 END"}
+    TREE | LAYOUT | {'parse_error': '0'}
 )} FROM base""",
-    "python_node_profile": f"SELECT id, {doubles(TREE)} FROM ({PYTHON}) WHERE length(code) <= 10000",
+    "python_node_profile": f"SELECT id, {doubles(TREE)} FROM ({PYTHON})",
     "node_type_counts": f"""
-WITH s AS (SELECT count(*) AS d, coalesce(sum(words), 0) AS w FROM ({PYTHON}) WHERE length(code) <= 10000),
+WITH s AS (SELECT count(*) AS d, coalesce(sum(words), 0) AS w FROM ({PYTHON})),
 kinds(node_type, per_doc, per_word, deepest) AS (VALUES
     ('Module', 1, 0, 1), ('Import', 1, 0, 2), ('alias', 1, 0, 3), ('ClassDef', 1, 0, 2), ('FunctionDef', 1, 0, 3),
     ('arguments', 1, 0, 4), ('arg', 1, 0, 5), ('Pass', 4, 0, 4), ('For', 1, 0, 2), ('While', 1, 0, 2),

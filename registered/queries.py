@@ -410,7 +410,7 @@ def hashed_vectors(spark, sf_dir):
 
 @query
 def vocab_topk(spark, sf_dir):
-    vocab = sequences.vocabulary(derived.texts(spark, sf_dir), size=2000)
+    vocab = sequences.vocabulary(derived.texts(spark, sf_dir), size=30_000)
     return vocab.withColumn("token_id", F.col("token_id").cast("long"))
 
 
@@ -418,9 +418,9 @@ def _encoded(spark, sf_dir, pad):
     source = derived.texts(spark, sf_dir)
     # The vocabulary is read three times below: count it once.
     vocab = artifacts.cached_table(
-        spark, fresh_path(spark, "vocabulary"), lambda: sequences.vocabulary(source, size=2000)
+        spark, fresh_path(spark, "vocabulary"), lambda: sequences.vocabulary(source, size=30_000)
     )
-    rows = sequences.encode_sequences(source, vocab, max_length=64, pad=pad)
+    rows = sequences.encode_sequences(source, vocab, max_length=512, pad=pad)
     return rows.select(
         "id",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
@@ -511,7 +511,7 @@ def _dev_and_test(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query
 def linear_model_eval(spark, sf_dir):
     train, dev, test = _dev_and_test(derived.labelled_texts(spark, sf_dir))
-    fit = train_linear(train, dev, epochs=3)
+    fit = train_linear(train, dev, epochs=5)
     both = fit.predictions.withColumn("split", F.lit("val")).unionByName(
         score_linear(test, fit.model).withColumn("split", F.lit("test"))
     )

@@ -153,3 +153,11 @@ def test_latest_checkpoint(spark):
     df = spark.createDataFrame(paths, "model string, path string")
     got = {r["model"]: (r["path"], r["step"]) for r in latest_checkpoint(df).collect()}
     assert got == {"m": ("x/checkpoint-100", 100), "n": ("y/checkpoint-x", 0)}
+
+
+def test_wide_matrix_loses_no_label(spark):
+    preds = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (1, 1)], "y_true int, y_pred int")
+    wide = C.confusion_wide(preds).orderBy("y_true").collect()
+    assert [tuple(r) for r in wide] == [(0, 1, 0, 0), (1, 0, 1, 1), (2, 0, 0, 1)]
+    with pytest.raises(Exception, match="not listed"):
+        C.confusion_wide(preds, labels=(0, 1)).collect()

@@ -53,12 +53,39 @@ def test_vocabulary_and_encoding(spark):
     assert loose[1]["input_ids"] == [2, 4, 5, 4, 1, 1, 3] and loose[3]["attention_mask"] == [1, 1]
 
 
-def test_encoding_without_broadcast(spark, monkeypatch):
+def test_encoding_keeps_every_row(spark):
+    """Rows with equal or null keys stay apart, each within the length bound."""
+    df = spark.createDataFrame([(1, "a a a a"), (1, "b b b b"), (None, "a"), (None, "a")], "id long, code string")
+    vocab = sequences.vocabulary(df, size=2)
+    got = sorted((str(r["id"]), r["input_ids"]) for r in sequences.encode_sequences(df, vocab, 6).collect())
+    assert got == [
+        ("1", [2, 4, 4, 4, 4, 3]), ("1", [2, 5, 5, 5, 5, 3]), ("None", [2, 4, 3, 0, 0, 0]), ("None", [2, 4, 3, 0, 0, 0]),
+    ]
+
+
+def test_encoding_without_broadcast(spark):
     df = spark.createDataFrame([(i, "a b c " * (i % 5)) for i in range(50)], "id long, code string")
     vocab = sequences.vocabulary(df, size=2)
     base = sorted(map(str, sequences.encode_sequences(df, vocab, 16).collect()))
-    monkeypatch.setattr(sequences, "BROADCAST_CHARS", -1)
-    assert sorted(map(str, sequences.encode_sequences(df, vocab, 16).collect())) == base
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, sequences.encode_sequences(df, vocab, 16).collect())) == base
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_labels_must_be_binary(spark):
+    df = spark.createDataFrame([(i, f"w{i % 3} x", i % 3) for i in range(12)], "id long, code string, label int")
+    with pytest.raises(ValueError, match="0 or 1"):
+        train_linear(df, df, buckets=16, epochs=1)
+
+
+def test_unlabelled_predictions_stay(spark):
+    preds = spark.createDataFrame([(1, 0), (2, 1)], "id long, y_pred int")
+    labels = spark.createDataFrame([(1, 1)], "id long, label int")
+    rows = {r["id"]: r["y_true"] for r in scoring.pair_labels(preds, labels).collect()}
+    assert rows == {1: 1, 2: None}
 
 
 def test_pluggable_tokenizer(spark):

@@ -122,7 +122,10 @@ def test_edges(spark):
         ("async def f():\n  async for a in b: pass\ntry:\n  pass\nexcept E as e:\n  pass\n", "py"),
         ("x += 1\ny: int = 2\nfrom a import b as c, d\n", " Python "),
     ]
-    out = {r["id"]: r for r in structural_features(snippets(spark, rows), with_status=True).collect()}
+    limited = structural_features(
+        snippets(spark, rows), with_status=True, parse_limit=10_000, unhinted_limit=5000
+    )
+    out = {r["id"]: r for r in limited.collect()}
     assert out[0]["parse_error"] == 0 and out[0]["max_ast_depth"] == 1 and out[0]["line_count"] == 0
     assert out[1]["num_functions"] == 1 and out[1]["status"] == "parsed"
     assert out[2]["num_functions"] == 0 and out[2]["status"] is None and out[2]["parse_error"] == 0
@@ -130,9 +133,8 @@ def test_edges(spark):
     assert out[4]["parse_error"] == 1 and out[4]["num_assign"] == 1
     assert out[5]["parse_error"] == 1
     assert out[6]["parse_error"] == 1 and out[6]["num_parens"] == 4000
-    # Unvisitable tree: text-only row without length or punctuation counts.
-    assert out[7]["status"] == "too_deep" and out[7]["parse_error"] == 0
-    assert out[7]["char_count"] == 0 and out[7]["num_assign"] == 1
+    assert out[7]["status"] == "parsed" and out[7]["parse_error"] == 0
+    assert out[7]["char_count"] == len(deep_tree) and out[7]["max_ast_depth"] > 1500
     assert out[8]["num_functions"] == 1 and out[8]["num_for"] == 1 and out[8]["num_try"] == 1
     assert out[8]["num_unique_identifiers"] == 2
     assert out[9]["num_assign"] == 0 and out[9]["num_imports"] == 1
@@ -216,3 +218,18 @@ def test_hot_key_profile(spark):
     assert hot["num_calls"] == 5000 and hot["most_common_node_type_count"] == 5000
     assert hot["num_unique_identifiers"] == 25 and hot["max_ast_depth"] == 6
     assert python_node_profile(rows).where("id = 0").first()["num_unique_identifiers"] == 50
+
+
+def test_long_and_deep_code_is_parsed(spark):
+    """Without limits, length and depth change nothing, and text columns need no parser."""
+    chain = "x = a" + ".b" * 1500
+    rows = [("a = f(1)\n" * 2500, "python"), (chain, "python"), ("x = 1" + "+1" * 1500, "python"), ("def f(): pass".ljust(9000), None)]
+    table = snippets(spark, rows)
+    out = {r["id"]: r for r in structural_features(table, with_status=True).collect()}
+    assert [out[i]["status"] for i in range(4)] == ["parsed"] * 4
+    assert out[0]["num_calls"] == 2500 and out[0]["char_count"] == 22_500 and out[0]["parse_error"] == 0
+    assert out[1]["char_count"] == len(chain) and out[1]["max_ast_depth"] > 1500
+    assert out[3]["num_functions"] == 1
+    assert syntax_nodes(table).where("id = 2 AND node_type = 'BinOp'").count() == 1500
+    plan = structural_features(table).select("id", "char_count")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
