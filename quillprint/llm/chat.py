@@ -190,7 +190,7 @@ def laid_out(turns: DataFrame) -> DataFrame:
     spelled = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt")])
     first_user = F.when(roles == "user", text(0)).otherwise(text(1))
     # Roles that the second spelling would rename are listed in the first.
-    foreign = F.exists(t, lambda m: m["role"].isin(*ROLE_NAMES))
+    foreign = F.exists(t, lambda m: F.coalesce(m["role"].isin(*ROLE_NAMES), F.lit(False)))
     messages = F.transform(t, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     spoken = F.transform(
         t, lambda m: F.struct(F.coalesce(F.try_element_at(spelled, m["role"]), m["role"]).alias("from"), m["text"].alias("value"))

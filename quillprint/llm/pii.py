@@ -34,7 +34,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/@:]++:[^\s/@]*+@[A-Za-z0-9.-]++")
 VALUE = re.compile(r"[\"']?[ ]?[:=#][ ]?[\"']?([A-Za-z0-9+/_.-]{8,})")
 ACCOUNT_VALUE = re.compile(r"[ ]?(?:no\.?|number)?[ ]?[:=#]?[ ]?([A-Za-z0-9][A-Za-z0-9 -]{5,40}[A-Za-z0-9])", re.IGNORECASE)
-IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]){11,30}")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
 KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 
 

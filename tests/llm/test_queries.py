@@ -157,7 +157,7 @@ def test_lm_scores(spark, sf_dir, texts):
 )
 def test_held_out_accuracy(spark, name, label, folds, held, cut, least):
     """Balanced over the two labels; on a table with enough labels for both."""
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.1"
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     hits = {0: [], 1: []}
     got = rows(spark, sf_dir, name)
@@ -167,7 +167,7 @@ def test_held_out_accuracy(spark, name, label, folds, held, cut, least):
         assert r.predicted == (r.score >= cut)
         if r.held_out and labels.get(r.doc_id) is not None:
             hits[labels[r.doc_id]].append(r.predicted == labels[r.doc_id])
-    assert len(got) == 1000
+    assert len(got) == 10_000
     assert np.mean([np.mean(h) for h in hits.values() if h]) >= least
 
 
