@@ -218,10 +218,10 @@ vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS tok
 
 
 def encoded(pad: bool) -> str:
-    gap_ids = " || repeat(' 0', CAST(62 - n AS BIGINT))" if pad else ""
+    gap_ids = " || repeat(' 0', CAST(510 - n AS BIGINT))" if pad else ""
     return f"""
 WITH {VOCAB},
-heads AS (SELECT id, {TOKENS}[1:62] AS head FROM texts),
+heads AS (SELECT id, {TOKENS}[1:510] AS head FROM texts),
 items AS (SELECT id, unnest(head) AS token, generate_subscripts(head, 1) AS pos FROM heads),
 found AS (SELECT i.id, count(*) AS n, string_agg(CAST(coalesce(v.token_id, 1) AS VARCHAR), ' ' ORDER BY pos) AS ids
           FROM items i LEFT JOIN vocab v USING (token) GROUP BY i.id),
