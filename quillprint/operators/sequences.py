@@ -11,10 +11,14 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from quillprint.functions.text import WHITESPACE, WORD, clean_code, text_or_empty
+from quillprint.session import fresh_path
+from quillprint.sources.artifacts import cached_table
 
 # Reserved ids of a sequence.
 PAD_ID, UNKNOWN_ID, START_ID, END_ID = 0, 1, 2, 3
 RESERVED_IDS = 4
+#: Classes of counts to a doubling, in the histogram of a vocabulary.
+CLASSES_PER_DOUBLING = 16
 
 
 def code_tokens(code: Column) -> Column:
@@ -26,15 +30,27 @@ def vocabulary(df: DataFrame, size: int = 30_000, code_col: str = "code") -> Dat
     """The ``size`` most frequent tokens as ``(token, n, token_id)``; ties go by token.
 
     The counts combine on the map side, so a token that makes up a third of
-    all text moves once per task. The numbering runs over ``size`` rows only.
+    all text moves once per task. They are written, and a histogram of them
+    tells which tokens are too rare to be among the first: the sort that ends
+    in one task gets little more than the rows it keeps, but for ties. The
+    numbering runs over ``size`` rows only.
     """
+    spark = df.sparkSession
     tokens = df.select(F.explode(code_tokens(text_or_empty(F.col(code_col)))).alias("token"))
-    top = (
-        tokens.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(size)
+    counts = cached_table(
+        spark,
+        fresh_path(spark, "token-counts"),
+        lambda: tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")),
     )
+    classed = counts.withColumn("_class", F.floor(F.log2("n") * CLASSES_PER_DOUBLING))
+    lowest, held = 0, 0
+    # At most 64 doublings, so few rows whatever the corpus.
+    for row in classed.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_class")).collect():
+        lowest, held = row["_class"], held + row["n"]
+        if held >= size:
+            break
+    frequent = classed.where(F.col("_class") >= lowest).drop("_class")
+    top = frequent.orderBy(F.desc("n"), "token").limit(size)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))
     return top.select("token", "n", (rank + RESERVED_IDS - 1).cast("int").alias("token_id"))
 

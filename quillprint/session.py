@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "quillprint", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,17 +54,3 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a plain scan that has fewer tasks than there are cores.
-
-    Only for tables as read: asking a plan with a shuffle for its partitions
-    would run the shuffle. A file of one row group is one task however many
-    cores wait. Inputs that already split at least that far, as any large table
-    does, are returned untouched and pay no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -78,5 +79,5 @@ def child_folders(spark: SparkSession, root: str, prefix: str = "") -> DataFrame
         if is_missing(error):
             return spark.createDataFrame([], "path string")
         raise
-    below = F.regexp_extract("path", rf"^(.*/{prefix}[^/]*)/", 1)
+    below = F.regexp_extract("path", rf"^(.*/{re.escape(prefix)}[^/]*)/", 1)
     return files.select(below.alias("path")).where("path != ''").distinct()

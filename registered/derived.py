@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillprint.session import spread
-
 # Code put in front of every derived snippet; {id} becomes the document's key.
 PYTHON_HEAD = (
     "import os\n"
@@ -25,6 +23,18 @@ PYTHON_HEAD = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a plain scan that has fewer tasks than there are cores.
+
+    The driver's tables are single files of one row group: one task however
+    many cores wait. Inputs that already split that far are returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +66,8 @@ def split_sizes(spark, sf_dir):
 
 @query
 def head_rows(spark, sf_dir):
-    # The first keys are found on narrow columns; only their texts are read.
-    texts = derived.texts(spark, sf_dir)
-    first = texts.select("id").join(derived.labels(spark, sf_dir), "id").orderBy("id").limit(5)
-    return texts.join(first, "id").select("id", "label", "code")
+    # One scan: every task sends its first rows only.
+    return derived.labelled_texts(spark, sf_dir).select("id", "label", "code").orderBy("id").limit(5)
 
 
 # --- text and lexical expressions -----------------------------------------
@@ -392,16 +388,18 @@ def ngram_counts(spark, sf_dir):
 
 @query
 def hashed_vectors(spark, sf_dir):
-    """Per document: n-grams counted over all buckets, and the squared length of its vector."""
-    buckets = 1 << 12
-    counted = vectors.hashed_counts(vectors.word_ngrams(derived.texts(spark, sf_dir)), buckets)
-    unit = Normalizer(p=2.0, inputCol="counts", outputCol="text_vector").transform(counted)
+    """Per document: n-grams counted over all buckets, and the squared length of its vector.
+
+    Both are summed over the filled buckets only.
+    """
+    unit = vectors.hashed_vectors(derived.texts(spark, sf_dir))
+    counted = vectors.hashed_counts(vectors.word_ngrams(unit))
 
     def total(column, power):
-        values = vector_to_array(F.col(column))
+        values = F.unwrap_udt(column)["values"]
         return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.pow(x, F.lit(power)))
 
-    return unit.select(
+    return counted.select(
         "id",
         total("counts", 1.0).cast("long").alias("total"),
         F.round(total("text_vector", 2.0), 6).alias("square_norm"),
