@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ class Pieces:
     bytes_at: list[int]
     texts: list[str]
     unknown: int
-    longest: int
+    reach: dict[str, int]  # the last two characters of pieces: length of the longest that ends so
     unknown_score: float
 
 
@@ -69,12 +70,15 @@ def vocabulary(path: str, by_rank: bool = True) -> Pieces:
         if model.is_byte(i):
             at[int(texts[i][1:-1], 16)] = i
     lowest = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-    return Pieces({texts[i]: i for i in plain}, scores, at, texts, model.unk_id(), max(map(len, scores), default=1), lowest)
+    reach: dict[str, int] = {}
+    for piece in scores:
+        reach[piece[-2:]] = max(len(piece), reach.get(piece[-2:], 0))
+    return Pieces({texts[i]: i for i in plain}, scores, at, texts, model.unk_id(), reach, lowest)
 
 
 def segment(words: list[str], known: Pieces) -> dict[str, list[int]]:
     """The best pieces of every word; of equal scores the one with the longer last piece."""
-    scores, longest, out = known.scores, known.longest, {}
+    scores, reach, out = known.scores, known.reach, {}
     best, back, previous = [0.0], [0], ""
     for word in sorted(words):
         shared, limit = 0, min(len(word), len(previous))
@@ -83,7 +87,7 @@ def segment(words: list[str], known: Pieces) -> dict[str, list[int]]:
         del best[shared + 1 :], back[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             top, start = best[end - 1] + known.unknown_score, end - 1
-            for begin in range(max(0, end - longest), end):
+            for begin in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
                 score = scores.get(word[begin:end])
                 if score is not None and best[begin] + score > top:
                     top, start = best[begin] + score, begin
@@ -114,8 +118,8 @@ class Encoder:
         docs = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        self.words.update(segment([w for w in {w for d in docs for w in d} if w not in self.words], self.known))
-        return [np.array([i for w in d for i in self.words[w]], np.int32) for d in docs]
+        self.words.update(segment(list(set().union(*docs) - self.words.keys()), self.known))
+        return [np.array(list(chain.from_iterable(map(self.words.__getitem__, d))), np.int32) for d in docs]
 
 
 def decode_ids(ids: list[int], known: Pieces, of_byte: dict[int, int]) -> str:
