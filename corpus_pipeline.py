@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the surface rules and look more like trusted text than like the raw corpus."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     judged = rules.quality_rules(docs, rules.fit_ratios(docs, trusted))
-    return judged.where("quality.kept").select(*COLUMNS)
+    # Exploded first, so that the filter is not worked into the steps of the judgement.
+    return judged.select(*COLUMNS, F.explode(F.array("quality.kept")).alias("kept")).where("kept").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Quality rules: surface counts and a hashed n-gram log-likelihood ratio.
 
 Words and pairs of neighbouring words are hashed into a fixed number of buckets.
-Two multinomials over the buckets, one of trusted documents and one of all
-documents, give every bucket a log ratio; a document's score is the mean ratio
-of its n-grams, and documents below a fixed score are rejected. Everything is
-built from DataFrame functions.
+Counts over the buckets, of trusted documents and of all documents, give every
+bucket a log ratio; a document's score is the mean ratio of its n-grams. Texts are
+dealt into folds, and each is scored by the counts of the other folds, so neither
+its own words nor its exact copies speak for or against it. The score below which
+documents are rejected is read off the trusted ones, scored in the same way.
+Everything is built from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,7 +18,15 @@ from quillprint.llm.support import bound, dense_array, small_or_shuffled, spaced
 
 N_BUCKETS = 1 << 16
 SMOOTHING = 1.0
+#: Ratios are shifted so that the learnt cut lies here.
 THRESHOLD = -0.06
+FOLDS = 4
+#: So many of a thousand trusted documents may lie below the place from which the cut is measured,
+#: and the cut lies below that place by this part of its distance from their median.
+BELOW_OF_1000 = 1
+MARGIN = 0.25
+#: Scores are counted in steps of this size to find the cut.
+STEP = 1e-3
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -34,15 +44,25 @@ def buckets_of(word: Column, following: Column, n_buckets: int) -> tuple[Column,
     return F.pmod(word, F.lit(n_buckets)).cast("int"), F.pmod(pair, F.lit(n_buckets)).cast("int")
 
 
+def fold_of_text(text: str | Column) -> Column:
+    """The fold of a text; exact copies share it."""
+    return F.pmod(F.xxhash64(text_of(text)), F.lit(FOLDS)).cast("int")
+
+
 def bucket_counts(docs: DataFrame, trusted: Column, text: str = "text", n_buckets: int = N_BUCKETS) -> DataFrame:
-    """``(bucket, raw, target)``: n-grams of all documents and of the trusted ones; summed before the shuffle."""
-    hashed = docs.select(trusted.alias("trusted"), word_hashes(text).alias("hashes"))
-    placed = hashed.select("trusted", "hashes", F.posexplode("hashes").alias("at", "word"))
+    """``(bucket, raw0, target0, raw1, ...)``: n-grams outside each fold, of all documents and of the trusted ones.
+
+    Summed before the shuffle.
+    """
+    hashed = docs.select(trusted.alias("trusted"), fold_of_text(text).alias("fold"), word_hashes(text).alias("hashes"))
+    placed = hashed.select("trusted", "fold", "hashes", F.posexplode("hashes").alias("at", "word"))
     both = F.array(*buckets_of(F.col("word"), F.get("hashes", F.col("at") + 1), n_buckets))
-    grams = placed.select("trusted", F.explode(both).alias("bucket"))
-    return grams.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")
-    )
+    grams = placed.select("trusted", "fold", F.explode(both).alias("bucket"))
+    slots = grams.select("trusted", (F.col("bucket") * FOLDS + F.col("fold")).alias("slot"))
+    counted = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target"))
+    fold = F.col("slot") % FOLDS
+    outside = [F.sum(F.when(fold != k, F.col(n)).otherwise(0)).alias(f"{n}{k}") for k in range(FOLDS) for n in ("raw", "target")]
+    return counted.groupBy(F.expr(f"slot div {FOLDS}").alias("bucket")).agg(*outside)
 
 
 def fit_ratios(
@@ -53,28 +73,65 @@ def fit_ratios(
     n_buckets: int = N_BUCKETS,
     smoothing: float = SMOOTHING,
     broadcast_ids: int = 200_000,
+    threshold: float = THRESHOLD,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """One row: ``ratios``, an array of ``n_buckets`` log ratios of trusted over raw probability.
+    """One row: ``ratios``, for each fold an array of ``n_buckets`` log ratios of trusted over expected counts.
 
     All documents count as raw; those whose key occurs in ``trusted_ids`` (its
-    one column) count as target too. The ids are broadcast if at most
-    ``broadcast_ids`` of them were counted, and joined by a shuffle otherwise.
-    Without any trusted document every ratio is zero.
+    one column) count as target too. The expected count is the trusted share of
+    the raw one, and ``smoothing`` is added to both, so an unseen bucket has
+    ratio zero. The ids are broadcast if at most ``broadcast_ids`` of them were
+    counted, and joined by a shuffle otherwise. Trusted documents of
+    ``min_words`` words or more set the cut, and ratios are shifted to put it at
+    ``threshold``. Without any trusted document every ratio is zero.
     """
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     marked = rows.join(small_or_shuffled(ids, broadcast_ids), F.col("_key") == F.col("_trusted"), "left")
     counts = bucket_counts(marked, F.col("_trusted").isNotNull(), "_text", n_buckets)
-    packed = dense_array(counts, "bucket", {"raw": F.col("raw"), "target": F.col("target")}, n_buckets)
-    total = {n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x) for n in ("raw", "target")}
-    packed = packed.select("raw", "target", total["raw"].alias("raws"), total["target"].alias("targets"))
+    names = [f"{n}{k}" for k in range(FOLDS) for n in ("raw", "target")]
+    packed = dense_array(counts, "bucket", {n: F.col(n) for n in names}, n_buckets)
+    total = {n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x) for n in names}
+    packed = packed.select(*names, *[c.alias(f"all_{n}") for n, c in total.items()])
+
+    def ratios_outside(k: int) -> Column:
+        share = F.col(f"all_target{k}") / F.col(f"all_raw{k}")
+        ratio = bound(share, lambda s: F.zip_with(f"target{k}", f"raw{k}", lambda t, r: F.log((t + smoothing) / (r * s + smoothing))))
+        return F.when(F.col(f"all_target{k}") > 0, ratio).otherwise(F.transform(f"raw{k}", lambda _: F.lit(0.0)))
+
+    unshifted = written(packed.select(F.array(*map(ratios_outside, range(FOLDS))).alias("ratios")), "unshifted")
+    trusted = marked.where("_trusted IS NOT NULL").select("_text", word_hashes("_text").alias("_hashes"))
+    own = F.get(unshifted.select("ratios").scalar(), fold_of_text("_text"))
+    long = trusted.where(F.size("_hashes") >= min_words).withColumn("_ratios", own)
+    scored = long.select(mean_ratio(F.col("_hashes"), F.col("_ratios"), n_buckets).alias("score"))
+    cut = cut_of(scored)
+    if cut is None:
+        return unshifted
+    shifted = F.transform("ratios", lambda fold: F.transform(fold, lambda x: x + (threshold - cut)))
+    return written(unshifted.select(shifted.alias("ratios")), "ratios")
+
+
+def cut_of(scored: DataFrame) -> float | None:
+    """The score that trusted documents ``(score)`` set as the cut; none without any.
+
+    Counts of rounded scores come to the driver: their number is bounded by the
+    range of logarithms. The cut is never above zero, the score of unseen words.
+    """
+    steps = scored.groupBy(F.floor(F.col("score") / STEP).alias("step")).count().orderBy("step").collect()
+    n = sum(r["count"] for r in steps)
+    if not n:
+        return None
 
-    def log_share(count: Column, all_of: Column) -> Column:
-        return F.log((count + smoothing) / (all_of + smoothing * n_buckets))
+    def place(rank: int) -> float:
+        for r in steps:
+            rank -= r["count"]
+            if rank < 0:
+                return r["step"] * STEP
+        raise ValueError("the rank is not below the number of scores")
 
-    ratio = F.zip_with("target", "raw", lambda t, r: log_share(t, F.col("targets")) - log_share(r, F.col("raws")))
-    zero = F.transform("raw", lambda _: F.lit(0.0))
-    return written(packed.select(F.when(F.col("targets") > 0, ratio).otherwise(zero).alias("ratios")), "ratios")
+    low, middle = place(n * BELOW_OF_1000 // 1000), place(n // 2)
+    return min(0.0, low - MARGIN * (middle - low))
 
 
 def windows_of(hashes: Column) -> Column:
@@ -103,7 +160,7 @@ def repeated_words(windows: Column) -> Column:
 
 
 def mean_ratio(hashes: Column, ratios: Column, n_buckets: int) -> Column:
-    """Mean log ratio over the n-grams of a text; zero without words."""
+    """Mean log ratio over the n-grams of a text, by the ratios of its fold; zero without words."""
 
     def of_pair(word: Column, at: Column) -> Column:
         one, two = buckets_of(word, F.get(hashes, at + 1), n_buckets)
@@ -141,9 +198,13 @@ def quality_rules(
     body = text_of(text)
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     # One projection a step: a value that lambdas read is worked out once, before them.
-    # A scalar query hands the array of ratios to every task.
+    # A scalar query hands the arrays of ratios to every task; only that of the text's fold goes with the row.
     known = docs.withColumns(
-        {"_q_ratios": ratios.select("ratios").scalar(), "_q_hashes": word_hashes(text), "_q_lines": lines}
+        {
+            "_q_ratios": F.get(ratios.select("ratios").scalar(), fold_of_text(text)),
+            "_q_hashes": word_hashes(text),
+            "_q_lines": lines,
+        }
     ).withColumn("_q_windows", windows_of(F.col("_q_hashes")))
     hashes, found = F.col("_q_hashes"), F.col("_q_lines")
     counts = {
@@ -163,4 +224,4 @@ def quality_rules(
     q = F.col("_q_counts")
     failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeated_percent * q["n_words"])
     verdict = F.struct("_q_counts.*", failed.alias("base_failed"), (~failed & (q["ratio"] >= threshold)).alias("kept"))
-    return known.withColumn("quality", verdict).drop("_q_ratios", "_q_hashes", "_q_lines", "_q_windows", "_q_counts")
+    return known.withColumn("quality", verdict).drop(*[c for c in known.columns if c.startswith("_q_")])

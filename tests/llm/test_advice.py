@@ -1,0 +1,26 @@
+"""What reviews found missing."""
+
+from __future__ import annotations
+
+import pytest
+
+from quillprint.llm import rules
+from quillprint.llm.support import fold_of, table
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_clean_documents_without_label_stay(spark, size):
+    """Good documents whose labels were not given are kept; on the table with enough labels poor ones are rejected."""
+    sf_dir = f"/root/testdata/{size}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", (fold_of("doc_id", 4) == 1).alias("hidden"))
+    judged = rules.quality_rules(docs, rules.fit_ratios(docs, labels.where("quality = 1 AND NOT hidden").select("doc_id")))
+    # Filtered here: a filter in Spark is worked into the steps of the judgement.
+    rows = [r for r in judged.select("doc_id", "quality").join(labels.withColumnRenamed("quality", "label"), "doc_id").collect() if not r.quality.base_failed]
+    good = [r.quality.kept for r in rows if r.label == 1 and r.hidden]
+    poor = [r.quality.kept for r in rows if r.label == 0]
+    print(size, "hidden good:", len(good), "rejected:", good.count(False), "poor:", len(poor), "kept:", poor.count(True))
+    assert good
+    assert good.count(False) <= len(good) // 500
+    if size == "sf0.1":
+        assert poor.count(True) <= len(poor) // 20
