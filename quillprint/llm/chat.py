@@ -63,8 +63,9 @@ def fields(*pairs: tuple[str, str]) -> Callable[[Column], Column]:
     return turns
 
 
-def listed(name: str, role: str, text: str) -> Callable[[Column], Column]:
-    return lambda record: F.transform(record[name], lambda m: turn_of(renamed(m[role]), m[text]))
+def listed(name: str, role: str, text: str, read: Callable[[Column], Column] = lambda role: role) -> Callable[[Column], Column]:
+    """Turns from a list of messages, the role as ``read`` gives it."""
+    return lambda record: F.transform(record[name], lambda m: turn_of(read(m[role]), m[text]))
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,7 @@ class Mapping:
 
 MAPPINGS = (
     Mapping(("messages[].content",), ("messages[].role",), listed("messages", "role", "content")),
-    Mapping(("conversations[].value",), ("conversations[].from",), listed("conversations", "from", "value")),
+    Mapping(("conversations[].value",), ("conversations[].from",), listed("conversations", "from", "value", renamed)),
     Mapping(("prompt",), ("system", "response"), fields(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Mapping(("instruction", "output"), (), fields(("user", "instruction"), ("assistant", "output"))),
 )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillprint.llm import rules
+from quillprint.llm import chat, rules
 from quillprint.llm.support import fold_of, table
 
 
@@ -24,3 +25,14 @@ def test_clean_documents_without_label_stay(spark, size):
     assert good.count(False) <= len(good) // 500
     if size == "sf0.1":
         assert poor.count(True) <= len(poor) // 20
+
+
+def test_listed_roles_come_back(spark):
+    """Roles that one spelling renames are kept in the other."""
+    turns = [(93, 0, "gpt", "x"), (95, 0, "gpt", "y"), (96, 0, "human", "a"), (96, 1, "bot", "b"), (98, 0, "user", "c"), (98, 1, "tool", "d")]
+    made = chat.format_chats(chat.laid_out(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")), "record")
+    back = {r.conv_id: [tuple(t) for t in r.turns] for r in made.select("conv_id", chat.read_back(F.col("formatted")).alias("turns")).collect()}
+    assert back == {
+        93: [("gpt", "x")], 95: [("gpt", "y")], 96: [("human", "a"), ("bot", "b")], 98: [("user", "c"), ("tool", "d")],
+    }
+    assert {r.conv_id: len(r.loss_spans) for r in made.collect()} == {93: 0, 95: 0, 96: 0, 98: 0}
