@@ -523,7 +523,7 @@ def _trees(spark, sf_dir, log_loss):
     path = fresh_path(spark, "tree-features")
     features = artifacts.cached_table(spark, path, lambda: features)
     train, dev, test = _dev_and_test(features)
-    return train_trees(train, dev, rounds=10, log_loss=log_loss), test
+    return train_trees(train, dev, log_loss=log_loss), test
 
 
 @query

@@ -1,0 +1,27 @@
+"""What reviews found missing in the registered queries."""
+
+from __future__ import annotations
+
+import inspect
+
+import pytest
+
+from quillprint.operators.trees import train_trees
+from registered import queries
+
+
+class Asked(Exception):
+    """Carries what the trainer was asked for."""
+
+
+@pytest.mark.parametrize("name", ["tree_model_eval", "tree_loss_history", "tree_feature_importance"])
+def test_tree_queries_ask_for_all_rounds(spark, sf_dir, monkeypatch, name):
+    def ask(*args, **options):
+        bound = inspect.signature(train_trees).bind(*args, **options)
+        bound.apply_defaults()
+        raise Asked(bound.arguments["rounds"])
+
+    monkeypatch.setattr(queries, "train_trees", ask)
+    with pytest.raises(Asked) as asked:
+        getattr(queries, name)(spark, sf_dir)
+    assert asked.value.args == (200,)
