@@ -180,16 +180,20 @@ def laid_out(turns: DataFrame) -> DataFrame:
 
     A single question with or without an answer becomes fields; longer
     conversations become lists of messages in two spellings. Null texts are
-    empty.
+    empty. Rows without a ``conv_id`` form one conversation; rows of one turn
+    stand by role, then by text, nulls first. No rows give no conversations.
     """
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     grouped = turns.groupBy("conv_id").agg(ordered.alias("t"))
-    t, roles = F.col("t"), F.array_join(F.col("t.role"), ",", "?")
+    t = F.col("t")
     text = lambda i: F.get("t", F.lit(i))["text"]
-    odd, short = F.coalesce(F.col("conv_id") % 2, F.lit(1)) != 0, roles.isin("user", "user,assistant", "system,user,assistant")
-    pair, plain = roles == "user,assistant", roles.isin("user", "system,user,assistant")
+    is_role = lambda *roles: F.col("t.role") == F.array(*map(F.lit, roles))
+    # Whole lists are compared: a role may itself hold any separator.
+    alone, pair, led = is_role("user"), is_role("user", "assistant"), is_role("system", "user", "assistant")
+    odd, plain = F.coalesce(F.col("conv_id") % 2, F.lit(1)) != 0, alone | led
+    short = plain | pair
     spelled = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt")])
-    first_user = F.when(roles == "user", text(0)).otherwise(text(1))
+    first_user = F.when(alone, text(0)).otherwise(text(1))
     # Roles that the second spelling would rename are listed in the first.
     foreign = F.exists(t, lambda m: F.coalesce(m["role"].isin(*ROLE_NAMES), F.lit(False)))
     messages = F.transform(t, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
@@ -199,9 +203,9 @@ def laid_out(turns: DataFrame) -> DataFrame:
     record = F.struct(
         F.when(~short & (odd | foreign), messages).alias("messages"),
         F.when(~short & ~(odd | foreign), spoken).alias("conversations"),
-        F.when(plain & (roles != "user"), text(0)).alias("system"),
+        F.when(led, text(0)).alias("system"),
         F.when(plain | (pair & odd), F.when(pair, text(0)).otherwise(first_user)).alias("prompt"),
-        F.when(plain & (roles != "user"), text(2)).when(pair & odd, text(1)).alias("response"),
+        F.when(led, text(2)).when(pair & odd, text(1)).alias("response"),
         F.when(pair & ~odd, text(0)).alias("instruction"),
         F.when(pair & ~odd, text(1)).alias("output"),
     )

@@ -95,8 +95,8 @@ class Finder:
                 if at and text[at - 1] in "0123456789":
                     continue
                 if at >= past["ip"] and (m := QUAD.match(text, at)):
-                    parts = m.group().split(".")
-                    take("ip", at, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts))
+                    parts = [p.lstrip("0") for p in m.group().split(".")]
+                    take("ip", at, m.end(), all(len(p) <= 3 and int(p or "0") <= 255 for p in parts))
                 if at >= past["card"] and (m := CHAIN.match(text, at)):
                     digits = m.group().replace(" ", "").replace("-", "")
                     take("card", at, m.end(), 13 <= len(digits) <= 19 and passes_luhn(digits))

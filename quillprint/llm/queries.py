@@ -16,7 +16,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one made of the template's own marks, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = [(-1, 0, "user", chat.MARKS_SAMPLE), (-1, 1, "assistant", chat.MARKS_SAMPLE)]
-    extra = spark.createDataFrame(marks, "conv_id long, turn long, role string, text string")
+    rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(turns.columns, mark, strict=True)]) for mark in marks]
+    extra = spark.range(1).select(F.inline(F.array(*rows)))
     records = chat.laid_out(turns.unionByName(extra))
     formatted = chat.format_chats(records, "record")
     return chat.read_back_digest(formatted, "conv_id")

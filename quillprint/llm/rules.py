@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillprint.llm.support import bound, dense_array, small_or_shuffled, spaced, text_of, words_of, written
+from quillprint.llm.support import bound, dense_array, small_or_shuffled, spaced, spare, text_of, with_settled, words_of, written
 
 N_BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -192,36 +192,30 @@ def quality_rules(
     ones), ``ratio`` (the mean log ratio) and ``kept``. Words and windows are
     compared by 64-bit hashes. A null text is empty: no words, so it fails. Rows
     are judged one by one, so repeated rows, null keys and further columns pass
-    through; an existing ``quality`` column is replaced. The columns of
-    ``docs`` may not begin with ``_q_``.
+    through whatever their names; an existing ``quality`` column is replaced.
+    Its fields may be filtered on: they are settled before.
     """
     body = text_of(text)
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    own, h, ls, ws, cs = (spare(docs, f"_q_{n}") for n in ("ratios", "hashes", "lines", "windows", "counts"))
     # One projection a step: a value that lambdas read is worked out once, before them.
     # A scalar query hands the arrays of ratios to every task; only that of the text's fold goes with the row.
     known = docs.withColumns(
-        {
-            "_q_ratios": F.get(ratios.select("ratios").scalar(), fold_of_text(text)),
-            "_q_hashes": word_hashes(text),
-            "_q_lines": lines,
-        }
-    ).withColumn("_q_windows", windows_of(F.col("_q_hashes")))
-    hashes, found = F.col("_q_hashes"), F.col("_q_lines")
+        {own: F.get(ratios.select("ratios").scalar(), fold_of_text(text)), h: word_hashes(text), ls: lines}
+    ).withColumn(ws, windows_of(F.col(h)))
+    hashes, found = F.col(h), F.col(ls)
     counts = {
         "n_words": F.size(hashes),
         "word_chars": F.length(without(spaced(text), " ")),
-        "n_symbols": F.length(body) - F.length(without(body, SYMBOLS)),
+        "n_symbols": F.length(body) - F.length(F.translate(body, SYMBOLS, "")),
         "n_dup_lines": F.size(found) - F.size(F.array_distinct(found)),
-        "n_repeat_words": repeated_words(F.col("_q_windows")),
+        "n_repeat_words": repeated_words(F.col(ws)),
     }
-    known = known.withColumn(
-        "_q_counts",
-        F.struct(
-            *[c.cast("long").alias(n) for n, c in counts.items()],
-            mean_ratio(hashes, F.col("_q_ratios"), n_buckets).alias("ratio"),
-        ),
+    counted = F.struct(
+        *[c.cast("long").alias(n) for n, c in counts.items()],
+        mean_ratio(hashes, F.col(own), n_buckets).alias("ratio"),
     )
-    q = F.col("_q_counts")
+    q = F.col(cs)
     failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeated_percent * q["n_words"])
-    verdict = F.struct("_q_counts.*", failed.alias("base_failed"), (~failed & (q["ratio"] >= threshold)).alias("kept"))
-    return known.withColumn("quality", verdict).drop(*[c for c in known.columns if c.startswith("_q_")])
+    verdict = F.struct(f"{cs}.*", failed.alias("base_failed"), (~failed & (q["ratio"] >= threshold)).alias("kept"))
+    return with_settled(known.withColumn(cs, counted), "quality", verdict).drop(own, h, ls, ws, cs)

@@ -37,6 +37,34 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters: ``name`` or a longer one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with one more column, whose value is worked out before any filter or projection put on top.
+
+    The value passes through a generator of one row. A filter on a plain column
+    would be moved below the steps that lead to it, each use repeating them all.
+    """
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept], F.explode(F.array(value)).alias(name))
+
+
+def settled_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``(_key, good)``: each key once, ``good`` where its labels are 1 more often than not.
+
+    Null keys and labels are skipped, and so is a key whose labels are tied.
+    """
+    ones, rows = F.count_if(F.col(label) == 1), F.count(label)
+    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((2 * ones - rows).alias("_lead"))
+    return known.where("_lead != 0").select("_key", (F.col("_lead") > 0).alias("good"))
+
+
 def fold_of(key: str, folds: int) -> Column:
     """The remainder of the key's checksum: which part of the rows a row belongs to."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
