@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from quillprint.llm import chat, pii, ranking, rules
+from quillprint.llm import chat, pii, ranking, rules, toxicity
 from quillprint.llm.support import fold_of, settled_labels, table
 
 
@@ -116,3 +121,62 @@ def luhn(digits):
 
 def base_spans(text):
     return [(k, m.start(), m.end()) for k, (p, valid) in BASE.items() for m in re.finditer(p, text) if valid(m.group())]
+
+
+def test_toxicity_beside_plain_counts(spark):
+    """The model and its word comparison beside a Kneser-Ney model worked out from its definition."""
+    docs = spark.createDataFrame([(1, "bad bat#"), (2, "good bag"), (3, "bad, bad"), (4, "a good dog"), (5, "bat"), (6, "do")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (1, 3, 5))) for i in range(1, 7)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, order=3)
+    curve = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(toxicity.CURVE_FOLDS)) == 0).collect()}
+    words = {0: [], 1: []}
+    for r in docs.collect():
+        if r.doc_id not in curve:
+            words[int(r.doc_id in (1, 3, 5))] += ["\n" + w.strip("#,") + "\n" for w in r.text.split()]
+    grams = {c: Counter(w[max(0, e - 3) : e] for w in ws for e in range(2, len(w) + 1)) for c, ws in words.items()}
+    assert model.longest == (dict(grams[0]), dict(grams[1]))
+    seen = set(grams[0]) | set(grams[1])
+    pairs = {g[-2:] for g in seen if len(g) > 1}
+    before = {p: {g for g in seen if len(g) == 3 and g[1:] == p} for p in pairs}
+    assert {g: n for g, n in model.shared.items() if len(g) == 2} == {p: len(b) for p, b in before.items() if b}
+
+    def follows(counts, context):
+        return {g[-1]: n for g, n in counts.items() if g[:-1] == context}
+
+    def lower(context, ch):
+        parts = follows(model.shared, context)
+        rest = lower(context[1:], ch) if context else 1 / (len({g[-1] for g in model.shared}) + 1)
+        if not parts:
+            return rest
+        return (max(parts.get(ch, 0) - 0.75, 0) + 0.75 * len(parts) * rest) / sum(parts.values())
+
+    def likely(counts, context, ch):
+        parts, rest = follows(counts, context), lower(context[1:], ch)
+        return (max(parts.get(ch, 0) - 0.75, 0) + 0.75 * len(parts) * rest) / sum(parts.values()) if parts else rest
+
+    comparison = toxicity.Comparison(model)
+    for word in ("bad", "bat", "good", "dab", "x"):
+        marked, total = "\n" + word + "\n", 0.0
+        for e in range(2, len(marked) + 1):
+            h, ch = marked[max(0, e - 3) : e - 1], marked[e - 1]
+            if follows(model.longest[0], h) or follows(model.longest[1], h):
+                total += math.log(likely(model.longest[1], h, ch) / likely(model.longest[0], h, ch))
+        assert comparison.word(word) == pytest.approx(total / (len(marked) - 1))
+
+
+def test_ranking_beside_plain_descent(spark):
+    """Weights beside the minimum of the pairwise loss found by Newton steps in plain NumPy."""
+    rows = [(i, bool(i % 3), [math.sin(i), float(i % 5) + (i % 3 > 0), math.cos(2 * i)]) for i in range(40)]
+    pairs = ranking.preference_pairs(spark.createDataFrame(rows, "id long, good boolean, x array<double>"), 40)
+    data = pairs.collect()
+    x, y = np.array([r.difference for r in data]), np.array([r.label for r in data])
+    model = LogisticRegression(fitIntercept=False, regParam=1e-3, standardization=False, maxIter=200, tol=1e-10).fit(
+        pairs.select(array_to_vector("difference").alias("features"), "label")
+    )
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(3), x.T @ (p - y) / len(y) + 1e-3 * w)
+    assert model.coefficients.toArray() == pytest.approx(w, abs=1e-4)
+    # Every pair comes with its mirror image, and joins a good row to a poor one.
+    assert sorted(map(tuple, -x[y == 0])) == sorted(map(tuple, x[y == 1]))
