@@ -22,9 +22,7 @@ NEAR = jaccard.Rule(words=5, percent=80, errors=0, parts=1)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the surface rules and look more like trusted text than like the raw corpus."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    judged = rules.quality_rules(docs, rules.fit_ratios(docs, trusted))
-    # Exploded first, so that the filter is not worked into the steps of the judgement.
-    return judged.select(*COLUMNS, F.explode(F.array("quality.kept")).alias("kept")).where("kept").select(*COLUMNS)
+    return rules.quality_rules(docs, rules.fit_ratios(docs, trusted)).where("quality.kept").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +35,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; documents without an id stay."""
-    groups = jaccard.similar_documents(docs, NEAR)
-    dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """One document of each group of near copies: the one with the smallest id, null ids last.
+
+    Rows are told apart by a number of their own, so rows that share an id stay
+    unless their texts are linked; rows without words are linked with nothing.
+    """
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "numbered")
+    groups = jaccard.similar_documents(numbered, NEAR, key="_row").select(F.col("_row").alias("_member"), "component_id")
+    ids = numbered.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_member"))
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept"))
+    return numbered.join(first, F.col("_row") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
