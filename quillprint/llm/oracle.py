@@ -7,6 +7,53 @@ from quillprint.llm.chat import END, MARKS_SAMPLE, TURN
 # The control strings of chat.CONTROLS, for an engine without lookahead.
 _CONTROLS = r"<⁠*(?:\|turn\|>|\|end\|>|/?s>|<SYS>>|</SYS>>)|\[⁠*/?INST\]".replace(r"⁠", "⁠")
 
+# CRC-32 by its polynomial: a table of 256 steps, then a fold over the bytes of a text.
+_CRC_TABLE = """steps AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(
+    list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc_step)"""
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda o: ('0x' || o)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(crc_step[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+def _framed(column: str, value: str | None = None) -> str:
+    text = f"CAST({value or column} AS VARCHAR)"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+
+def _leaf(text: str | None = None) -> str:
+    return "sha256(" + " || ".join([*map(_framed, ("doc_id", "source", "lang", "n_chars")), _framed("text", text)]) + ")"
+
+
+def _tree(name: str, group: str, levels: int) -> str:
+    """CTEs ``<name>_beside<k>`` with the siblings on each level, and ``<name>_node<levels>`` with what remains.
+
+    ``<name>_node0`` is ``(group, pos, n, node)``.
+    """
+    out = []
+    for k in range(levels):
+        over = f"OVER (PARTITION BY {group}, pos // 16 ORDER BY pos ROWS BETWEEN"
+        out.append(f"""{name}_beside{k} AS (SELECT *,
+            coalesce(string_agg(node, '') {over} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts,
+            coalesce(string_agg(node, '') {over} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights FROM {name}_node{k}),
+        {name}_node{k + 1} AS (SELECT {group}, pos // 16 AS pos, CASE WHEN n = 1 THEN 1 ELSE (n + 15) // 16 END AS n,
+            CASE WHEN n = 1 THEN node ELSE sha256(node || rights) END AS node FROM {name}_beside{k} WHERE pos % 16 = 0)""")
+    return ", ".join(out)
+
+
+def _walk(name: str, join: str, start: str, levels: int) -> str:
+    """CTEs ``<name>_walk<k>``: ``start`` with ``proof`` and ``fold`` carried up the levels of ``_tree``."""
+    out, source = [], start
+    for k in range(levels):
+        out.append(f"""{name}_walk{k} AS (SELECT w.* EXCLUDE (proof, fold, place), place // 16 AS place,
+            CASE WHEN b.n > 1 THEN proof || lefts || rights ELSE proof END AS proof,
+            CASE WHEN b.n > 1 THEN sha256(lefts || fold || rights) ELSE fold END AS fold
+            FROM {source} w JOIN {name}_beside{k} b ON {join} AND b.pos = w.place)""")
+        source = f"{name}_walk{k}"
+    return ", ".join(out)
+
+
 ORACLE = {
     "op1_chat_format": f"""
         WITH turns AS (
@@ -58,4 +105,50 @@ ORACLE = {
         SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(lowest, vec_id) AS component_id,
             vec_id = coalesce(lowest, vec_id) AS kept
         FROM embeddings LEFT JOIN found USING (vec_id) LEFT JOIN counts USING (vec_id)""",
+    "op11_fill_in_middle": r"""
+        WITH hashed AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents
+        ), drawn AS (
+            SELECT doc_id, t, units, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS x,
+                ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS y, ('0x' || h[25:32])::BIGINT % 100 < 50 AS suffix_first FROM hashed
+        ), parts AS (
+            SELECT *, array_to_string(units[1:least(x, y)], '') AS pre,
+                array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS mid,
+                array_to_string(units[greatest(x, y) + 1:n], '') AS suf,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                    WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(pre) END AS prefix_chars,
+            CASE WHEN form != 'plain' THEN length(mid) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM parts""",
+    "op12_sharding": f"""
+        WITH {_CRC_TABLE}, rows AS (
+            SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, steps
+        ), placed AS (
+            SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                AS before, sum(size) OVER () AS whole, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS place FROM rows
+        ), cut AS (SELECT *, CAST((2 * before + size) * 40 // (2 * whole) AS INT) AS shard FROM placed)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot,
+            CAST(NULL AS INT) AS grown_shard FROM cut""",
+    "op13_merkle_manifest": f"""
+        WITH {_CRC_TABLE}, leaves AS (
+            SELECT doc_id, source, {_leaf()} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN
+                {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS shown FROM documents, steps
+        ), docs_placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                count(*) OVER (PARTITION BY source) AS n FROM leaves
+        ), doc_node0 AS (SELECT source, pos, n, leaf AS node FROM docs_placed), {_tree("doc", "source", 6)},
+        src_placed AS (
+            SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM doc_node6
+        ), src_node0 AS (SELECT 0 AS one, pos, n, subroot AS node FROM src_placed), {_tree("src", "one", 4)},
+        doc_start AS (SELECT doc_id, source, leaf, pos AS place, '' AS proof, coalesce(shown, leaf) AS fold FROM docs_placed),
+        {_walk("doc", "b.source IS NOT DISTINCT FROM w.source", "doc_start", 6)},
+        src_start AS (
+            SELECT w.* EXCLUDE (place), p.subroot, p.pos AS place FROM doc_walk5 w JOIN src_placed p ON p.source IS NOT DISTINCT FROM w.source
+        ), {_walk("src", "b.one = 0", "src_start", 4)}
+        SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = node AS verified
+        FROM src_walk3, src_node4""",
 }

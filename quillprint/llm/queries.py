@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillprint.llm import chat, embeddings, jaccard, lm, packing, pieces, pii, ranking, rules, toxicity
+from quillprint.llm import chat, embeddings, infill, jaccard, lm, merkle, packing, pieces, pii, ranking, rules, shards, toxicity
 from quillprint.llm.support import fold_of, table
 
 
@@ -90,10 +91,44 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = infill.fill_in_middle(docs)
+    fim = F.col("fim")
+    back = infill.restored(fim["output"], fim["form"])
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.sha2(fim["output"], 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = shards.shard_documents(docs, 40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, held against the root by a row that some have been tampered with."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.LEAF_COLUMNS)
+    marked = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    forged = merkle.leaf_of([*map(F.col, merkle.LEAF_COLUMNS[:-1]), F.when(marked, lowered).otherwise(F.col("text"))])
+    found = merkle.manifest(docs, carry={"shown": F.when(marked, forged)})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("shown", "leaf"), F.col("path")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality_rules, op3_jaccard_join, op4_best_fit_packing, op5_sentencepiece, op6_toxicity,
-        op7_embedding_near_dedup, op8_pii, op9_lm_scoring, op10_quality_classifier,
+        op7_embedding_near_dedup, op8_pii, op9_lm_scoring, op10_quality_classifier, op11_fill_in_middle, op12_sharding,
+        op13_merkle_manifest,
     )
 }
