@@ -57,10 +57,10 @@ def differences(spark, con, run, sql, sf_dir):
 
 
 def main():
+    from __spark_entry__ import oracle_sql, queries
     from quillprint.session import build_session
-    from registered.oracle import ORACLE
-    from registered.queries import QUERIES
 
+    QUERIES, ORACLE = queries(), oracle_sql()
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     wanted = sys.argv[2:] or list(QUERIES)
     spark = build_session(
