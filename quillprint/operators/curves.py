@@ -1,19 +1,19 @@
 """ROC and precision-recall curves at every distinct score.
 
 The cumulative counts are a two-level prefix sum. Rows are first aggregated
-per score, which also collapses any hot score; distinct scores are then cut
-into value ranges of about equal size, summed within each range, and shifted
-by the totals of the ranges above. No window ever spans a whole curve.
+per score, which also collapses any hot score; distinct scores are then dealt to
+ranges of about equal size, summed within each range, and shifted by the totals
+of the ranges above. No window ever spans a whole curve.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillprint.operators.prefix import running_sums
 
 INFINITY = float("inf")
 
@@ -29,65 +29,24 @@ def score_counts(
     )
 
 
-def _range_ids(counts: DataFrame, ranges: int) -> DataFrame:
-    """Number the value ranges of ``score``.
+def cumulative_counts(counts: DataFrame, keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """``counts`` with ``tp`` and ``fp`` at each threshold and the group's totals.
 
-    The bounds are found eagerly, once, and become literals of the plan: every
-    branch and every retried task then cuts at the same places. There are at
-    most ``ranges`` of them whatever the size of the data.
+    The distinct scores are written once, dealt to ranges from the highest down;
+    ``ranges`` is their number, that of the shuffle partitions if none is given.
     """
-    probes = [i / ranges for i in range(1, ranges)]
-    found = counts.agg(F.percentile_approx("score", probes, 4 * ranges)).first()[0] if probes else None
-    bounds = sorted({b for b in found or [] if abs(b) != INFINITY})
-    if not bounds:
-        return counts.withColumn("_range", F.lit(0.0))
-    cut = Bucketizer(
-        splits=[-INFINITY, *bounds, INFINITY], inputCol="score", outputCol="_range"
-    )
-    return cut.transform(counts)
-
-
-def cumulative_counts(counts: DataFrame, keys: Sequence[str] = (), ranges: int = 256) -> DataFrame:
-    """``counts`` with ``tp`` and ``fp`` at each threshold and the group's totals."""
-    group = [F.col(k) for k in keys] or [F.lit(1)]
-    ranged = _range_ids(counts, ranges)
-    inside = (
-        Window.partitionBy(*group, "_range")
-        .orderBy(F.desc("score"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    above = (
-        Window.partitionBy(*group)
-        .orderBy(F.desc("_range"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    whole = Window.partitionBy(*group)
-    totals = ranged.groupBy(*keys, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    offsets = totals.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_range").alias("_of"),
-        F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp_above"),
-        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp_above"),
-        F.sum("_p").over(whole).alias("positives"),
-        F.sum("_n").over(whole).alias("negatives"),
-    )
-    match = F.col("_range") == F.col("_of")
-    for k in keys:
-        match &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return (
-        ranged.withColumn("_tp", F.sum("pos").over(inside))
-        .withColumn("_fp", F.sum("neg").over(inside))
-        .join(offsets, match)
-        .select(
-            *keys,
-            "score",
-            "pos",
-            "neg",
-            (F.col("_tp") + F.col("_tp_above")).alias("tp"),
-            (F.col("_fp") + F.col("_fp_above")).alias("fp"),
-            "positives",
-            "negatives",
-        )
+    ranges = ranges or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    falling = counts.withColumn("_down", -F.col("score"))
+    summed = running_sums(falling, list(keys), ["_down"], ["pos", "neg"], ranges, unique=True)
+    return summed.select(
+        *keys,
+        "score",
+        "pos",
+        "neg",
+        (F.col("pos_before") + F.col("pos")).alias("tp"),
+        (F.col("neg_before") + F.col("neg")).alias("fp"),
+        F.col("pos_all").alias("positives"),
+        F.col("neg_all").alias("negatives"),
     )
 
 
@@ -105,12 +64,12 @@ def sweep(
     keys: Sequence[str] = (),
     score: str = "y_proba",
     label: str = "y_true",
-    ranges: int = 256,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Cumulative counts of predictions: what all curves of a table are drawn from.
 
-    Where several curves are wanted of large predictions, write this table once
-    and pass it to the ``*_of_sweep`` functions.
+    The predictions are read once, here; the table reads what that wrote. Where
+    several curves are wanted, pass it to the ``*_of_sweep`` functions.
     """
     return cumulative_counts(score_counts(preds, keys, score, label), keys, ranges)
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Transformer
+from pyspark import SparkContext
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,24 @@ def prediction_rows(
     )
 
 
+def portable(model: Transformer) -> Transformer:
+    """The model without its training summary, which would drag the session into every task."""
+    if isinstance(model, PipelineModel):
+        return PipelineModel([portable(stage) for stage in model.stages])
+    if not getattr(model, "hasSummary", False):
+        return model
+    bare = model.copy()
+    bare._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return bare
+
+
 def score_fitted(
     features: DataFrame, model: Transformer, threshold: float = 0.5, key: str = "id"
 ) -> DataFrame:
     """Prediction rows of a fitted two-class classifier over a feature table."""
     if getattr(model, "numClasses", 2) > 2:
         raise ValueError(f"the threshold decides between two classes, the model has {model.numClasses}")
-    scored = model.transform(features)
+    scored = portable(model).transform(features)
     scored = scored.withColumn("_p", vector_to_array("probability")[1])
     return prediction_rows(scored, threshold_label(F.col("_p"), threshold), F.col("_p"), key)
 

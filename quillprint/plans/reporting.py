@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from quillprint.operators import confusion
 from quillprint.operators.curves import areas_of_sweep, pr_of_sweep, roc_of_sweep, sweep
 from quillprint.plans import layout
-from quillprint.session import fresh_path
-from quillprint.sources.artifacts import cached_table
 from quillprint.sources.metrics import write_nested, write_records, write_summary
 from quillprint.sources.predictions import load_predictions, read_predictions
 
@@ -70,8 +68,8 @@ def report(
     preds = reduce(DataFrame.unionByName, [rows for _, _, rows in found])
     keys = ["model"]
     basic = confusion.model_metrics(preds, keys, ["accuracy", "f1_macro"]).drop("n")
-    # One sweep, written once, serves both curves and their areas.
-    swept = cached_table(spark, fresh_path(spark, "sweep"), lambda: sweep(preds, keys))
+    # One sweep serves both curves and their areas.
+    swept = sweep(preds, keys)
     summary = basic.join(areas_of_sweep(swept, keys), keys, "left")
     result = Report(
         summary=summary,
