@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable, Mapping, Sequence
 
@@ -10,6 +12,7 @@ from pyspark.ml.util import JavaMLReadable, MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillprint.session import remove
 from quillprint.sources.paths import is_missing, open_or_none
 
 
@@ -48,6 +51,70 @@ def _complete(spark: SparkSession, path: str) -> DataFrame | None:
     return None if marker is None else spark.read.parquet(path)
 
 
+def fingerprint(inputs: Sequence[DataFrame], options: Mapping[str, object] | None = None) -> dict[str, object]:
+    """What a table is made from: schemas, the files behind them, options; and ``id``, a hash of all that.
+
+    Files count by path, size and time of change, which Spark lists and sums
+    without opening them. Inputs must be read from files.
+    """
+    described = []
+    for df in inputs:
+        paths = sorted(set(df.inputFiles()))
+        if not paths:
+            raise ValueError("a fingerprint needs inputs that are read from files")
+        files = df.sparkSession.read.format("binaryFile").load(paths)
+        seen = files.agg(
+            F.count(F.lit(1)).alias("files"),
+            F.sum("length").alias("bytes"),
+            F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("hash"),
+        ).first()
+        described.append({"schema": json.loads(df.schema.json()), **seen.asDict()})
+    made_from = {"inputs": described, "options": dict(options or {})}
+    text = json.dumps(made_from, sort_keys=True, default=str)
+    return {"id": hashlib.sha256(text.encode()).hexdigest()[:32], "made_from": text}
+
+
+def fingerprinted_table(
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    inputs: Sequence[DataFrame],
+    options: Mapping[str, object] | None = None,
+    partition_by: Sequence[str] = (),
+) -> DataFrame:
+    """The table below ``path`` that was made from these inputs and options; built first if there is none.
+
+    Each table lies in a folder named by its fingerprint, beside a manifest of
+    what it was made from. Once a new table is complete, tables of other
+    fingerprints below ``path`` are removed: give every table a path of its
+    own, and do not go on reading one that may be superseded.
+    """
+    made_from = fingerprint(inputs, options)
+    target = f"{path.rstrip('/')}/table-{made_from['id']}"
+    found = _complete(spark, target)
+    if found is not None:
+        return found
+    manifest = spark.createDataFrame([(made_from["id"], made_from["made_from"])], "id string, made_from string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/manifest-{made_from['id']}")
+    build().write.mode("overwrite").partitionBy(*partition_by).parquet(target)
+    for old in _tables(spark, path) - {made_from["id"]}:
+        remove(spark, f"{path.rstrip('/')}/table-{old}")
+        remove(spark, f"{path.rstrip('/')}/manifest-{old}")
+    return spark.read.parquet(target)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What each table below ``path`` was made from, by fingerprint."""
+    found = {old: f"{path.rstrip('/')}/manifest-{old}" for old in _tables(spark, path)}
+    return {old: json.loads(spark.read.json(p).first()["made_from"]) for old, p in found.items()}
+
+
+def _tables(spark: SparkSession, path: str) -> set[str]:
+    """Fingerprints of the tables below a folder, finished or not."""
+    folders = child_folders(spark, path, "manifest-").collect()
+    return {r["path"].rsplit("-", 1)[1] for r in folders}
+
+
 def load_model(reader: type[JavaMLReadable], path: str):
     """A fitted model, or None where there is none."""
     try:

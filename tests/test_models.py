@@ -217,3 +217,18 @@ def test_pairing(spark):
     assert [(r["y_true"], r["y_pred"], r["y_proba"]) for r in rows] == [(0, 1, 0.2), (1, 0, 0.9)]
     decided = scoring.threshold_predictions(spark.createDataFrame([(1, 0.5), (1, 0.51), (1, None)], "y_pred int, y_proba double"))
     assert [r["y_pred"] for r in decided.collect()] == [0, 1, 1]
+
+
+def test_loss_history_beside_the_estimator(spark, labelled):
+    """One pass over both tables gives what the estimator finds with a pass for every tree."""
+    table = structural_features(labelled).withColumn("label", ((F.col("id") % 2) * (F.col("id") % 5 > 0).cast("int")).cast("int"))
+    train, dev = table.where("id % 4 < 2"), table.where("id % 4 >= 2")
+    fit = trees.train_trees(train, dev, rounds=12, depth=4)
+    assemble, model = fit.model.stages
+    for split, part in (("train", train), ("dev", dev)):
+        slow = [x / 2 for x in model.evaluateEachIteration(assemble.transform(part))]
+        got = [r["log_loss"] for r in fit.history.where(F.col("split") == split).orderBy("iteration").collect()]
+        assert got == pytest.approx(slow, abs=1e-9)
+    half = assemble.transform(dev.withColumn("split", F.lit("x")).withColumn("label", F.when(F.col("id") % 3 > 0, F.col("label"))))
+    assert trees.loss_history(half, model).count() == 12
+    assert trees.loss_history(half.limit(0), model).count() == 0
