@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillprint.operators.structural import DOUBLE_NAMED, PYTHON_NODE_TYPES
+from quillprint.session import written
 
 # Fixed values of the generic rules: node types matched whole, and fragments
 # matched anywhere in the type.
@@ -83,3 +84,39 @@ def node_profile(nodes: DataFrame, key: str = "id") -> DataFrame:
         _double(F.count_if(is_type)).alias("total_node_types"),
         _double(F.max(F.when(is_type, n))).alias("most_common_node_type_count"),
     )
+
+
+def node_depths(nodes: DataFrame, key: str = "id") -> DataFrame:
+    """``nodes (key, node_id, parent_id, ..)`` with ``depth``, 1 for a root, worked out from the parents alone.
+
+    Every node knows an ancestor and the steps to it; each round it takes over
+    that ancestor's ancestor, so the distance doubles and a tree of depth d is
+    done after log2(d) joins. A node whose parent is not in the table is a root.
+    Nodes on a circle of parents, and those below one, have no depth, and neither
+    have rows without key or node id. Of repeated rows of a node the smallest
+    parent counts, a null one last; all of them get its depth. An existing
+    ``depth`` is replaced.
+    """
+    rows = nodes.drop("depth")
+    known = rows.where(F.col(key).isNotNull() & F.col("node_id").isNotNull())
+    single = written(known.groupBy(key, "node_id").agg(F.min("parent_id").alias("up")), "parents")
+    there = single.select(F.col(key).alias("_key"), F.col("node_id").alias("_node"))
+    parent = (F.col(key) == F.col("_key")) & (F.col("up") == F.col("_node"))
+    # A parent that is not there counts like none.
+    state = single.join(there, parent, "left").select(key, "node_id", F.col("_node").alias("up"), F.lit(1).alias("steps"))
+    state = written(state, "ancestors")
+    most = single.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach <= most and not state.where("up IS NOT NULL").isEmpty():
+        further = state.select(
+            F.col(key).alias("_key"), F.col("node_id").alias("_node"), F.col("up").alias("_up"), F.col("steps").alias("_steps")
+        )
+        met = state.join(further, parent, "left")
+        steps = F.col("steps") + F.coalesce("_steps", F.lit(0))
+        state = written(met.select(key, "node_id", F.col("_up").alias("up"), steps.alias("steps")), "ancestors")
+        reach *= 2
+    # Whoever still has an ancestor after more steps than there are nodes goes round in circles.
+    depth = F.when(F.col("up").isNull(), F.col("steps")).cast("int")
+    found = state.select(F.col(key).alias("_key"), F.col("node_id").alias("_node"), depth.alias("depth"))
+    same = (F.col(key) == F.col("_key")) & (F.col("node_id") == F.col("_node"))
+    return rows.join(found, same, "left").select(*rows.columns, "depth")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillprint.functions import lexical
 from quillprint.functions.text import normalize_language, text_or_empty
 from quillprint.operators.columns import int_label
-from quillprint.operators.syntax import PARSED, syntax_tree
+from quillprint.operators.syntax import COUNTED, DEFINING, FAILED, PARSED, syntax_outline
 
 STRUCTURAL_COLUMNS = [
     "avg_identifier_len",
@@ -40,8 +40,7 @@ STRUCTURAL_COLUMNS = [
     "parse_error",
 ]
 
-# Syntax node types behind each count, and those whose name
-# enters the identifier mean twice.
+# Syntax node types behind each count.
 PYTHON_NODE_TYPES = {
     "num_functions": ("FunctionDef", "AsyncFunctionDef"),
     "num_classes": ("ClassDef",),
@@ -53,7 +52,8 @@ PYTHON_NODE_TYPES = {
     "num_try": ("Try",),
     "num_calls": ("Call",),
 }
-DOUBLE_NAMED = ("FunctionDef", "AsyncFunctionDef", "ClassDef")
+#: Names of these enter the identifier mean twice.
+DOUBLE_NAMED = DEFINING
 
 
 def lexical_counts(code: Column, ids: Column) -> dict[str, Column]:
@@ -95,10 +95,10 @@ def lexical_features(df: DataFrame, code_col: str = "code") -> DataFrame:
 
 
 def _occurrences(types: Column, wanted: Sequence[str]) -> Column:
-    """How many elements of ``types`` are among ``wanted``."""
+    """How many of the numbered ``types`` are among ``wanted``."""
     rest = types
     for name in wanted:
-        rest = F.array_remove(rest, name)
+        rest = F.array_remove(rest, F.lit(COUNTED.index(name)).cast("tinyint"))
     return F.size(types) - F.size(rest)
 
 
@@ -116,6 +116,7 @@ def structural_features(
     lang_col: str = "language",
     keep: Sequence[str] = ("id", "label"),
     with_status: bool = False,
+    with_error: bool = False,
     parse_limit: int | None = None,
     unhinted_limit: int | None = None,
 ) -> DataFrame:
@@ -126,6 +127,8 @@ def structural_features(
     measures of the text itself never depend on the tree. ``parse_limit`` treats
     longer snippets as if parsing had failed, ``unhinted_limit`` reads snippets
     of that length or more as Python only where the language says so; both are off.
+    ``with_status`` and ``with_error`` add what the parser said: a status, and the
+    error of a snippet it could not read.
     """
     keep = [c for c in keep if c in df.columns]
     language = F.col(lang_col) if lang_col in df.columns else F.lit(None).cast("string")
@@ -137,20 +140,16 @@ def structural_features(
         normalize_language(language).alias("_language"),
     )
     routed = routed.withColumn("_python", lexical.python_route(code, F.col("_language"), unhinted_limit))
-    parsed = routed.withColumn("_tree", syntax_tree(F.when(F.col("_python"), code), parse_limit))
-
-    types, names = F.col("_tree.types"), F.col("_tree.names")
-    counted = [t for wanted in PYTHON_NODE_TYPES.values() for t in wanted]
-    defined = F.filter(names, lambda _, i: F.get(types, i).isin(*DOUBLE_NAMED))
+    parsed = routed.withColumn("_tree", syntax_outline(F.when(F.col("_python"), code), parse_limit))
     staged = parsed.select(
         *keep,
         "_code",
         "_python",
         F.col("_tree.status").alias("_status"),
-        # Most nodes are of types nobody counts; one pass drops them.
-        F.filter(types, lambda t: t.isin(*counted)).alias("_types"),
-        F.array_max("_tree.depths").alias("_depth"),
-        F.concat(F.array_compact(names), defined).alias("_names"),
+        F.col("_tree.error").alias("_error"),
+        F.col("_tree.types").alias("_types"),
+        F.col("_tree.depth").alias("_depth"),
+        F.concat("_tree.names", "_tree.defined").alias("_names"),
         # Only rows that need text counts pay for the identifier array.
         F.when(
             F.col("_tree.status").isNull() | (F.col("_tree.status") != PARSED),
@@ -177,6 +176,24 @@ def structural_features(
     out = staged.select(
         *keep,
         *([F.col("_status").alias("status")] if with_status else []),
+        *([F.col("_error").alias("error")] if with_error else []),
         *[features[n].cast("double").alias(n) for n in STRUCTURAL_COLUMNS],
     )
     return out
+
+
+def write_features(df: DataFrame, path: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Write the structural features of ``df`` once, split by outcome; return the good and the failed rows.
+
+    Parsing, counting and both folders are one job. Failed rows are those read as
+    Python that the parser could not read: they carry its ``error`` beside the
+    counts that stand in, so that nothing is lost and they can be looked into or
+    taken up again. ``options`` are those of ``structural_features``.
+    """
+    made = structural_features(df, with_status=True, with_error=True, **options)
+    failed = F.coalesce(F.col("status") == FAILED, F.lit(False))
+    split = made.withColumn("outcome", F.when(failed, "failed").otherwise("good"))
+    split.write.mode("overwrite").partitionBy("outcome").parquet(path)
+    back = df.sparkSession.read.schema(split.schema).parquet(path)
+    good = back.where("outcome = 'good'").drop("outcome", "status", "error")
+    return good, back.where("outcome = 'failed'").drop("outcome", "status")

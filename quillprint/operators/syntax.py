@@ -25,6 +25,23 @@ NODES_PER_BATCH = 200_000
 
 PARSED, FAILED = "parsed", "failed"
 
+# Node types that counts are taken of, by small numbers, and those whose name defines something.
+COUNTED = (
+    "FunctionDef", "AsyncFunctionDef", "ClassDef", "Import", "ImportFrom", "If", "For", "AsyncFor", "While", "Assign", "Try", "Call",
+)
+DEFINING = ("FunctionDef", "AsyncFunctionDef", "ClassDef")
+
+_OUTLINE = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("types", T.ArrayType(T.ByteType())),
+        T.StructField("names", T.ArrayType(T.StringType())),
+        T.StructField("defined", T.ArrayType(T.StringType())),
+    ]
+)
+
 # Nodes travel as parallel arrays, one element per node in preorder: far cheaper
 # to copy and to count over than an array of structs.
 _TREE = T.StructType(
@@ -105,7 +122,90 @@ def _parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield _tree_rows(statuses, offsets, nodes)
 
 
+class _Outlines:
+    """What counts need of the trees of a batch: nodes of counted types, names, depths."""
+
+    def __init__(self) -> None:
+        self.numbers = {getattr(ast, name): i for i, name in enumerate(COUNTED)}
+        self.defining = {getattr(ast, name) for name in DEFINING}
+        self.children: dict[type, tuple[tuple[str, ...], bool]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns = tuple([] for _ in _OUTLINE.names)
+        self.held = 0
+
+    def fields(self, kind: type) -> tuple[tuple[str, ...], bool]:
+        """The fields of a node type that can hold nodes, and whether it has a name."""
+        if kind not in self.children:
+            plain = {f for f, t in getattr(kind, "_field_types", {}).items() if t in (str, int, object, str | None, int | None)}
+            self.children[kind] = tuple(f for f in kind._fields if f not in plain), "name" in kind._fields
+        return self.children[kind]
+
+    def read(self, code: str | None) -> None:
+        """Add the outline of one snippet, level by level."""
+        status = error = depth = None
+        types, names, defined = [], [], []
+        if code is not None:
+            try:
+                level, status, depth = [ast.parse(code)], PARSED, 0
+            except Exception as failure:
+                level, status, error = [], FAILED, f"{type(failure).__name__}: {failure}"
+            numbers, defining, known, node_class = self.numbers, self.defining, self.children, ast.AST
+            while level:
+                depth += 1
+                below = []
+                for node in level:
+                    kind = node.__class__
+                    number = numbers.get(kind)
+                    if number is not None:
+                        types.append(number)
+                    found = known.get(kind) or self.fields(kind)
+                    if found[1] and isinstance(node.name, str):
+                        names.append(node.name)
+                        if kind in defining:
+                            defined.append(node.name)
+                    for field in found[0]:
+                        value = getattr(node, field, None)
+                        if isinstance(value, node_class):
+                            below.append(value)
+                        elif value.__class__ is list:
+                            below += [v for v in value if isinstance(v, node_class)]
+                level = below
+        for column, value in zip(self.columns, (status, error, depth, types, names, defined)):
+            column.append(value)
+        self.held += len(types) + len(names)
+
+    def rows(self) -> pa.StructArray:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.list_(pa.string()))
+        arrays = [pa.array(c, t) for c, t in zip(self.columns, kinds)]
+        self.clear()
+        return pa.StructArray.from_arrays(arrays, names=_OUTLINE.names)
+
+
+def _outline_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    warnings.simplefilter("ignore", SyntaxWarning)
+    outlines = _Outlines()
+    for codes in batches:
+        for code in codes:
+            outlines.read(code.as_py())
+            if outlines.held >= NODES_PER_BATCH:
+                yield outlines.rows()
+        yield outlines.rows()
+
+
 _parse = arrow_udf(_parse_batches, _TREE)
+_outline = arrow_udf(_outline_batches, _OUTLINE)
+
+
+def syntax_outline(code: Column, parse_limit: int | None = None) -> Column:
+    """``struct<status, error, depth, types, names, defined>`` of Python code: what counts need, and no more.
+
+    ``types`` numbers the nodes of ``COUNTED`` types, one element a node;
+    ``names`` are the names of all nodes that have one, ``defined`` those of
+    definitions. Limits and nulls are those of ``syntax_tree``.
+    """
+    return _outline(code if parse_limit is None else F.when(F.length(code) <= parse_limit, code))
 
 
 def syntax_tree(code: Column, parse_limit: int | None = None) -> Column:

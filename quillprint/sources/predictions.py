@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quillprint.operators.scoring import pair_scores
 from quillprint.sources.paths import open_or_none
 
+STORE_KEYS = ("model", "split")
+STORE_SCHEMA = "id string, y_true int, y_pred int, y_proba double, model string, split string"
+
 # Names tried in turn, predictions and then scores.
 PREDICTION_FILES = ("predictions_test.csv", "predictions.csv")
 SCORE_FILES = (
@@ -95,3 +98,31 @@ def write_predictions(preds: DataFrame, path: str, format: str = "csv") -> None:
         writer.option("header", True).csv(path)
     else:
         writer.parquet(path)
+
+
+def write_store(preds: DataFrame, root: str) -> None:
+    """Add predictions ``(id, y_true, y_pred, y_proba, model, split)`` to a store, one folder a model and split.
+
+    Folders of models and splits that occur in ``preds`` are replaced as a
+    whole, all others stay as they are, so a rerun of one model touches nothing
+    else. A null model or split is a folder like others; an empty string counts
+    as null. Further columns are left out.
+    """
+    names = [c.split()[0] for c in STORE_SCHEMA.split(", ")]
+    casts = dict(c.split() for c in STORE_SCHEMA.split(", "))
+    rows = preds.select(*[F.col(n).cast(casts[n]).alias(n) for n in names])
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*STORE_KEYS).parquet(root)
+
+
+def read_store(
+    spark: SparkSession, root: str, models: Sequence[str] | None = None, splits: Sequence[str] | None = None
+) -> DataFrame:
+    """Predictions of the wanted models and splits, all of them by default; other folders are not opened."""
+    found = open_or_none(spark.read.schema(STORE_SCHEMA).parquet, root)
+    if found is None:
+        raise FileNotFoundError(f"nothing to read at {root}")
+    for column, wanted in zip(STORE_KEYS, (models, splits), strict=True):
+        if wanted is not None:
+            found = found.where(F.col(column).isin(*wanted))
+    return found

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillprint.operators.structural import structural_features
+
 # Code put in front of every derived snippet; {id} becomes the document's key.
 PYTHON_HEAD = (
     "import os\n"
@@ -151,3 +154,59 @@ def tag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(name == "a", F.col("tag")).alias("name"),
         )
     )
+
+
+def nested_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening tags of each page with the tag they lie in, and no depth: the last tag before them one level up."""
+    tags = tag_nodes(spark, sf_dir).select("id", "node_id", "depth", "node_type")
+    sides = F.array(
+        F.struct(F.col("depth").alias("level"), F.col("node_id").alias("holder"), F.lit(False).alias("inner")),
+        F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("long").alias("holder"), F.lit(True).alias("inner")),
+    )
+    order = Window.partitionBy("id", "level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tags.select("id", "node_id", "node_type", F.inline(sides))
+    held = placed.withColumn("parent_id", F.last("holder", ignorenulls=True).over(order))
+    return held.where("inner").select("id", "node_id", "parent_id", "node_type")
+
+
+def flat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a feature table ``(id, truth, label, features, split)``: the first feature is the label, rarely wrong in truth."""
+    documents = table(spark, sf_dir, "documents")
+    marks = documents.select(
+        F.col("doc_id").alias("id"),
+        (F.col("n_chars") % 2).cast("int").alias("label"),
+        (F.col("n_chars") % 5).alias("rest"),
+        split_of(F.col("doc_id")).alias("split"),
+    )
+    truth = F.when(F.col("id") % 11 == 0, 1 - F.col("label")).otherwise(F.col("label"))
+    vector = array_to_vector(F.array(F.col("label").cast("double"), F.col("rest").cast("double")))
+    return marks.select("id", truth.alias("truth"), "label", vector.alias("features"), "split")
+
+
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' language and source as snippets, labelled by language: one word decides."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.concat_ws(" ", "lang", "source").alias("code"),
+        F.col("lang").isin("en", "es").cast("int").alias("label"),
+        split_of(F.col("doc_id")).alias("split"),
+    )
+
+
+def broken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Python snippets, every seventh with an end that cannot be parsed."""
+    end = F.when(F.col("id") % 7 == 0, "def f(:\n").otherwise("")
+    return python_texts(spark, sf_dir).withColumn("code", F.concat("code", end))
+
+
+def marked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural features ``(id, label, split, ..)`` of documents behind a line with none to two semicolons: the label says whether any."""
+    documents = spread(table(spark, sf_dir, "documents"))
+    marks = F.col("n_chars") % 3
+    snippets = documents.select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("x"), F.repeat(F.lit(";"), marks.cast("int")), F.lit("\n"), F.regexp_replace("text", ";", ",")).alias("code"),
+        (marks > 0).cast("int").alias("label"),
+        split_of(F.col("doc_id")).alias("split"),
+    )
+    return structural_features(snippets, keep=("id", "label", "split"))

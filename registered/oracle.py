@@ -231,6 +231,19 @@ SELECT id, '2 ' || ids || '3'{gap_ids} AS input_ids,
 """
 
 
+ORIGINS = f"""
+SELECT doc_id AS id, lang || ' ' || source AS code, CAST(lang IN ('en', 'es') AS INT) AS label, {SPLIT.format('doc_id')} AS split FROM documents
+"""
+
+# All splits as one.
+WHOLE = SCORED.replace("l.split", "'all' AS split")
+
+# Metrics of predictions none of which is wrong.
+PERFECT = ", ".join(
+    f"1.0::DOUBLE AS {m}"
+    for m in ("accuracy", "f1_macro", "precision_macro", "recall_macro", "f1_weighted", "precision_weighted", "recall_weighted")
+)
+
 WEIGHTS = "[" + ", ".join(f"{((j % 7) - 3) / 4.0}::DOUBLE" for j in range(64)) + "]"
 
 ORACLE: dict[str, str] = {
@@ -328,10 +341,16 @@ UNION ALL
 SELECT id, CAST(length(code) AS DOUBLE), 0.0, 0.0, 0.0, CAST({chars('code', '()')} AS DOUBLE) FROM ({TEXTS})""",
     "feature_cache": structural(MARKUP),
     "pair_predictions": f"""
-WITH scored AS ({SCORED}), p AS (SELECT id, y_true, CASE WHEN id % 3 = 0 THEN s / 2 WHEN id % 2 = 0 THEN s END AS y_proba,
-    CAST(s > 0.5 AS INT) AS y_pred FROM scored)
-SELECT id, y_true, CASE WHEN y_proba IS NULL THEN y_pred ELSE CAST(y_proba > 0.5 AS INT) END AS y_pred, y_proba FROM p""",
-    "prediction_csv": f"WITH scored AS ({SCORED}) SELECT id, y_true, CAST(s > 0.5 AS INT) AS y_pred, s AS y_proba FROM scored",
+WITH scored AS ({SCORED}), preds AS ({PREDS}), p AS (SELECT id, model, y_true, y_pred,
+    CASE WHEN id % 3 = 0 AND y_proba IS NOT NULL THEN y_proba / 2 WHEN id % 2 = 0 THEN y_proba END AS y_proba FROM preds)
+SELECT model || '#' || id AS id, y_true, CASE WHEN y_proba IS NULL THEN y_pred ELSE CAST(y_proba > 0.5 AS INT) END AS y_pred, y_proba FROM p""",
+    "prediction_csv": f"WITH scored AS ({SCORED}), preds AS ({PREDS}) SELECT id, y_true, y_pred, y_proba, model FROM preds",
+    "prediction_side_file": f"""
+WITH scored AS ({SCORED})
+SELECT id, y_true, CAST(s > 0.5 AS INT) AS y_pred, CASE WHEN id % 3 = 0 THEN s / 2 ELSE s END AS y_proba FROM scored""",
+    "prediction_store": f"""
+WITH scored AS ({SCORED}), preds AS ({PREDS})
+SELECT id, y_true, CASE WHEN model = 'B' THEN 1 - y_pred ELSE y_pred END AS y_pred, y_proba, model, split FROM preds""",
     "confusion_cells": f"""
 WITH {_counts()},
 seen AS (SELECT DISTINCT model, split, label FROM totals)
@@ -431,4 +450,74 @@ WITH s AS (SELECT vec_id AS id, CAST(label % 2 AS INT) AS y_true,
 SELECT id, y_true, CAST(s > 0 AS INT) AS y_pred, round(1 / (1 + exp(-2 * s)), 6) AS y_proba FROM s""",
     "label_text_scoring": """
 SELECT vec_id AS id, CAST(label % 2 AS INT) AS y_true, CAST(embedding[1] > embedding[2] AS INT) AS y_pred FROM embeddings""",
+    "tree_marked_eval": f"""
+WITH rows AS (SELECT n_chars % 3 > 0 AS label, {SPLIT.format('doc_id')} AS split FROM documents)
+SELECT 'trees' AS model, split, {PERFECT}, count(*) AS n FROM rows WHERE split <> 'train' GROUP BY split""",
+    # Every row has the same margin on its own side, which each round moves by a tenth of the gradient.
+    "tree_marked_history": """
+WITH RECURSIVE m AS (SELECT 1 AS iteration, 1.0::DOUBLE AS margin UNION ALL
+    SELECT iteration + 1, margin + 0.1::DOUBLE * 4 / (1 + exp(2 * margin)) FROM m WHERE iteration < 200),
+splits AS (SELECT DISTINCT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'dev' END AS split FROM documents WHERE doc_id % 10 < 9)
+SELECT split, iteration, round(ln(1 + exp(-2 * margin)), 6) AS log_loss FROM m, splits""",
+    "tree_marked_importance": "SELECT feature, CASE WHEN feature = 'num_semicolons' THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM (VALUES "
+    + ", ".join(f"('{n}')" for n in sorted([*LEXICAL, *LAYOUT, "num_try", "parse_error"]) if n)
+    + ") AS t(feature) GROUP BY feature",
+    "descent_eval": f"""
+WITH rows AS (SELECT {SPLIT.format('doc_id')} AS split FROM documents)
+SELECT 'descent' AS model, split, {PERFECT}, count(*) AS n FROM rows WHERE split <> 'train' GROUP BY split""",
+    "fitted_model_eval": f"""
+WITH rows AS (SELECT {SPLIT.format('doc_id')} AS split, n_chars % 2 AS y_pred,
+    CASE WHEN doc_id % 11 = 0 THEN 1 - n_chars % 2 ELSE n_chars % 2 END AS y_true FROM documents),
+sides AS (SELECT split, label, count(*) FILTER (y_true = label) AS support, count(*) FILTER (y_pred = label) AS predicted,
+    count(*) FILTER (y_true = label AND y_pred = label) AS tp FROM rows, (VALUES (0), (1)) AS l(label) GROUP BY split, label),
+summary AS (SELECT split, sum(tp) / sum(support)::DOUBLE AS accuracy, sum(support) AS n,
+    sum(support * 2 * tp / (support + predicted)::DOUBLE) / sum(support) AS f1_weighted FROM sides WHERE support + predicted > 0 GROUP BY split)
+SELECT model, split, round(accuracy, 6) AS accuracy, round(f1_weighted, 6) AS f1_weighted, CAST(n AS BIGINT) AS n, 0::BIGINT AS unlabelled
+FROM summary, (VALUES ('linear'), ('tree')) AS m(model) WHERE split <> 'train'""",
+    "epoch_orders": """
+WITH placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM labels),
+stepped AS (SELECT *, CAST(floor(position * 4 / n) AS BIGINT) AS step FROM placed)
+SELECT e.epoch::BIGINT AS epoch, step, count(*) AS n, count(*) AS n_positions, min(position) AS lowest, max(position) AS highest,
+    CAST(CASE WHEN e.epoch = 1 THEN sum(doc_id) END AS BIGINT) AS id_sum FROM stepped, (VALUES (1), (2), (3)) AS e(epoch) GROUP BY e.epoch, step""",
+    "node_depth_profile": rf"""
+WITH RECURSIVE tags AS (SELECT id, unnest(t) AS tag, generate_subscripts(t, 1) AS pos FROM (
+    SELECT id, regexp_extract_all(code, '<(/?[a-z][^>]*)>', 1) AS t FROM ({MARKUP}))),
+deep AS (SELECT *, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY id ORDER BY pos) AS level FROM tags),
+opened AS (SELECT id, pos, level FROM deep WHERE tag NOT LIKE '/%'),
+child AS (SELECT c.id, c.pos, max(p.pos) AS parent FROM opened c
+    LEFT JOIN opened p ON p.id = c.id AND p.level = c.level - 1 AND p.pos < c.pos GROUP BY c.id, c.pos),
+walk AS (SELECT id, pos, 1 AS depth FROM child WHERE parent IS NULL
+    UNION ALL SELECT c.id, c.pos, w.depth + 1 FROM child c JOIN walk w ON w.id = c.id AND w.pos = c.parent)
+SELECT id, count(*) AS n, CAST(max(depth) AS BIGINT) AS deepest, CAST(sum(depth) AS BIGINT) AS total_depth,
+    count(*) FILTER (depth = 1) AS roots FROM walk GROUP BY id""",
+    "feature_dead_letters": """
+SELECT CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'good' END AS "row", count(*) AS n, count(*) FILTER (doc_id % 7 = 0) AS n_errors
+FROM documents GROUP BY 1
+UNION ALL SELECT 'SyntaxError ' || doc_id, 1, 1 FROM documents WHERE doc_id % 7 = 0""",
+    "token_cache": f"SELECT id, input_ids, 1::BIGINT AS builds FROM ({encoded(False)})",
+    "task_files": f"""
+SELECT CASE split WHEN 'val' THEN 'dev' ELSE split END AS split, count(*) AS n, CAST(sum(label) AS BIGINT) AS ones,
+    CAST(sum(id) AS BIGINT) AS id_sum, CAST(sum(length(code)) AS BIGINT) AS chars FROM ({ORIGINS}) GROUP BY split""",
+    "inspect_data_job": f"""
+SELECT CASE split WHEN 'val' THEN 'dev' ELSE split END AS split, label, count(*) AS n FROM ({ORIGINS}) GROUP BY ALL""",
+    "train_job": f"SELECT 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_macro FROM ({ORIGINS}) WHERE split = 'val' LIMIT 1",
+    "score_all_job": f"""
+SELECT 'linear' AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_macro, false AS failed
+FROM (SELECT * FROM ({ORIGINS}) WHERE split = 'test' LIMIT 1)
+UNION ALL SELECT 'trees', NULL, NULL, true""",
+    "report_job": f"""
+WITH {SUMMARY_ALL.replace(SCORED, WHOLE)}
+SELECT model, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, round(roc_auc, 6) AS roc_auc,
+       round(pr_auc, 6) AS pr_auc, 1::BIGINT AS n_skipped FROM joined""",
+    "inspect_predictions_job": f"""
+WITH scored AS ({SCORED}), preds AS ({PREDS})
+SELECT model, 'y_true' AS "column", CAST(y_true AS BIGINT) AS value, count(*) AS n FROM preds GROUP BY ALL
+UNION ALL SELECT model, 'y_pred', y_pred, count(*) FROM preds GROUP BY ALL""",
+    "evaluate_csv_job": f"""
+WITH {_counts().replace(SCORED, WHOLE)}
+SELECT round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, round(precision_macro, 6) AS precision_macro,
+       round(recall_macro, 6) AS recall_macro FROM summary WHERE model = 'B'""",
+    "compare_models_job": f"""
+WITH {_counts()}, wanted AS (SELECT * FROM summary WHERE model <> 'B' AND split <> 'train')
+{metric_rows(['accuracy', 'f1_weighted'], 'wanted')}""",
 }

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillprint import plans
 from quillprint.functions import lexical, scores, text
-from quillprint.operators import columns, confusion, curves, nodes, scoring, selection, sequences
+from quillprint.operators import columns, confusion, curves, epochs, evaluation, nodes, scoring, selection, sequences
 from quillprint.operators import structural, syntax, vectors
+from quillprint.operators.descent import score_descent, train_descent
 from quillprint.operators.lengths import LENGTH_COLUMNS, length_features
 from quillprint.operators.linear import score_linear, train_linear
 from quillprint.operators.trees import feature_importance, score_trees, train_trees
-from quillprint.session import fresh_path
-from quillprint.sources import artifacts, metrics, predictions
+from quillprint.plans import layout
+from quillprint.session import fresh_path, shared_folder
+from quillprint.sources import artifacts, metrics, predictions, tasks
 from registered import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,20 +242,58 @@ def feature_cache(spark, sf_dir):
 
 @query
 def pair_predictions(spark, sf_dir):
-    preds = derived.predictions(spark, sf_dir).where("model = 'B'")
-    bare = preds.select("id", "y_pred", F.when(F.col("id") % 2 == 0, F.col("y_proba")).alias("probs"))
-    side = preds.where(F.col("id") % 3 == 0).select("id", (F.col("y_proba") / 2).alias("p"))
-    paired = scoring.pair_scores(scoring.pair_labels(bare, derived.labels(spark, sf_dir)), side)
+    # All models at once: rows are paired by model and document, which one key holds.
+    key = F.concat_ws("#", "model", "id").alias("id")
+    preds = derived.predictions(spark, sf_dir)
+    bare = preds.select(key, "y_pred", F.when(F.col("id") % 2 == 0, F.col("y_proba")).alias("probs"))
+    side = preds.where(F.col("id") % 3 == 0).select(key, (F.col("y_proba") / 2).alias("p"))
+    truth = derived.labels(spark, sf_dir).select(
+        F.explode(F.array(*[F.concat_ws("#", F.lit(m), "id") for m in "ABC"])).alias("id"), "label"
+    )
+    paired = scoring.pair_scores(scoring.pair_labels(bare, truth), side)
     return scoring.threshold_predictions(paired).select("id", "y_true", "y_pred", "y_proba")
 
 
 @query
 def prediction_csv(spark, sf_dir):
+    """Every model's predictions through a CSV folder of its own."""
+    root = _experiments(spark, sf_dir)
+    back = [predictions.load_predictions(spark, layout.experiment(root, m, "task_a")) for m in "ABC"]
+    rows = [df.withColumn("model", F.lit(m)) for m, df in zip("ABC", back, strict=True)]
+    return columns.stack(*rows).withColumn("id", F.col("id").cast("long"))
+
+
+def _experiments(spark: SparkSession, sf_dir: str) -> str:
+    """Experiment folders of the three models with their predictions as CSV."""
+    root = fresh_path(spark, "experiments")
+    preds = derived.predictions(spark, sf_dir)
+    for model in "ABC":
+        rows = preds.where(F.col("model") == model).select("id", "y_true", "y_pred", "y_proba")
+        folder = layout.experiment(root, model, "task_a")
+        predictions.write_predictions(rows, f"{folder}/{layout.TEST_PREDICTIONS}")
+    return root
+
+
+@query
+def prediction_side_file(spark, sf_dir):
+    """Predictions whose scores lie in a side file: the file decides where it has a row."""
     folder = fresh_path(spark, "experiment")
     preds = derived.predictions(spark, sf_dir).where("model = 'B'")
     predictions.write_predictions(preds.select("id", "y_true", "y_pred", "y_proba"), f"{folder}/predictions.csv")
-    back = predictions.load_predictions(spark, folder)
-    return back.withColumn("id", F.col("id").cast("long"))
+    side = preds.where(F.col("id") % 3 == 0).select("id", (F.col("y_proba") / 2).alias("p"))
+    predictions.write_predictions(side, f"{folder}/probs.parquet", "parquet")
+    return predictions.load_predictions(spark, folder).withColumn("id", F.col("id").cast("long"))
+
+
+@query
+def prediction_store(spark, sf_dir):
+    """All models in one store, then model B once more with every prediction turned round."""
+    root = fresh_path(spark, "store")
+    preds = derived.predictions(spark, sf_dir)
+    predictions.write_store(preds, root)
+    again = preds.where("model = 'B'").withColumn("y_pred", 1 - F.col("y_pred"))
+    predictions.write_store(again, root)
+    return predictions.read_store(spark, root).withColumn("id", F.col("id").cast("long"))
 
 
 @query
@@ -516,30 +560,229 @@ def linear_model_eval(spark, sf_dir):
     return _rounded(confusion.model_metrics(both.withColumn("model", F.lit("linear")), KEYS))
 
 
-def _trees(spark, sf_dir, log_loss):
-    features = structural.structural_features(
-        derived.labelled_texts(spark, sf_dir), keep=("id", "label", "split")
+@dataclass
+class _Trees:
+    model: PipelineModel
+    history: DataFrame
+    dev: DataFrame
+    test: DataFrame
+
+    def metrics(self) -> DataFrame:
+        parts = [score_trees(df, self.model).withColumn("split", F.lit(s)) for s, df in (("val", self.dev), ("test", self.test))]
+        return _rounded(confusion.model_metrics(columns.stack(*parts).withColumn("model", F.lit("trees")), KEYS))
+
+
+def _trees(spark: SparkSession, sf_dir: str, name: str, features: Callable[[], DataFrame]) -> _Trees:
+    """The tree model of a feature table, fitted by the first query that needs it and read by the others."""
+    source = [derived.table(spark, sf_dir, n) for n in ("documents", "labels")]
+    folder = f"{shared_folder(spark)}/{name}-{artifacts.fingerprint(source, {'name': name})['id']}"
+    table = artifacts.cached_table(spark, f"{folder}/features", features)
+    train, dev, test = _dev_and_test(table)
+    model = artifacts.load_model(PipelineModel, f"{folder}/model")
+    if model is None:
+        fit = train_trees(train, dev)
+        fit.history.write.mode("overwrite").parquet(f"{folder}/history")
+        # The model comes last: where it is, the history is complete.
+        artifacts.save_model(fit.model, f"{folder}/model")
+        model = fit.model
+    return _Trees(model, spark.read.parquet(f"{folder}/history"), dev, test)
+
+
+def _labelled_trees(spark, sf_dir):
+    keep = ("id", "label", "split")
+    return _trees(
+        spark, sf_dir, "labelled-trees", lambda: structural.structural_features(derived.labelled_texts(spark, sf_dir), keep=keep)
     )
-    path = fresh_path(spark, "tree-features")
-    features = artifacts.cached_table(spark, path, lambda: features)
-    train, dev, test = _dev_and_test(features)
-    return train_trees(train, dev, log_loss=log_loss), test
+
+
+def _marked_trees(spark, sf_dir):
+    return _trees(spark, sf_dir, "marked-trees", lambda: derived.marked_features(spark, sf_dir))
 
 
 @query
 def tree_model_eval(spark, sf_dir):
-    fit, test = _trees(spark, sf_dir, log_loss=False)
-    both = fit.predictions.withColumn("split", F.lit("val")).unionByName(
-        score_trees(test, fit.model).withColumn("split", F.lit("test"))
-    )
-    return _rounded(confusion.model_metrics(both.withColumn("model", F.lit("trees")), KEYS))
+    return _labelled_trees(spark, sf_dir).metrics()
 
 
 @query
 def tree_loss_history(spark, sf_dir):
-    return _trees(spark, sf_dir, log_loss=True)[0].history
+    return _labelled_trees(spark, sf_dir).history
 
 
 @query
 def tree_feature_importance(spark, sf_dir):
-    return feature_importance(_trees(spark, sf_dir, log_loss=False)[0].model)
+    return feature_importance(_labelled_trees(spark, sf_dir).model)
+
+
+@query
+def tree_marked_eval(spark, sf_dir):
+    """Trees on a label that one feature decides: SQL knows every prediction."""
+    return _marked_trees(spark, sf_dir).metrics()
+
+
+@query
+def tree_marked_history(spark, sf_dir):
+    return _rounded(_marked_trees(spark, sf_dir).history)
+
+
+@query
+def tree_marked_importance(spark, sf_dir):
+    return _rounded(feature_importance(_marked_trees(spark, sf_dir).model))
+
+
+@query
+def descent_eval(spark, sf_dir):
+    """The linear classifier of one run of mini-batch descent, on a label that one word decides."""
+    train, dev, test = _dev_and_test(derived.origins(spark, sf_dir))
+    fit = train_descent(train, dev, buckets=1 << 14)
+    both = fit.predictions.withColumn("split", F.lit("val")).unionByName(
+        score_descent(test, fit.model).withColumn("split", F.lit("test"))
+    )
+    return _rounded(confusion.model_metrics(both.withColumn("model", F.lit("descent")), KEYS))
+
+
+@query
+def fitted_model_eval(spark, sf_dir):
+    """Two fitted models, each scored, written and measured in one pass over a split."""
+    features = derived.flat_features(spark, sf_dir)
+    train = features.where("split = 'train'")
+    models = {"linear": LogisticRegression(regParam=1e-4).fit(train), "tree": DecisionTreeClassifier(maxDepth=3).fit(train)}
+    truth = features.select("id", F.col("truth").alias("label"), "features", "split")
+    splits = {s: truth.where(F.col("split") == s).drop("split") for s in ("val", "test")}
+    return _rounded(evaluation.evaluate_models(splits, models, fresh_path(spark, "evaluated")))
+
+
+@query
+def epoch_orders(spark, sf_dir):
+    """The orders of three epochs: what makes each a permutation, its batches, and whether it is the order of the keys."""
+    rows = derived.labels(spark, sf_dir).select("id")
+    n = rows.count()
+    parts = []
+    for epoch in (1, 2, 3):
+        placed = epochs.epoch_order(rows, epoch).withColumn("step", epochs.batch_of(F.col("position"), n, 4))
+        parts.append(
+            placed.groupBy(F.lit(epoch).cast("long").alias("epoch"), F.col("step").cast("long").alias("step")).agg(
+                F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("n_positions"),
+                F.min("position").alias("lowest"), F.max("position").alias("highest"),
+                F.sum(F.when(F.lit(epoch) == 1, F.col("id"))).alias("id_sum"),
+            )
+        )
+    return columns.stack(*parts)
+
+
+@query
+def node_depth_profile(spark, sf_dir):
+    """Depths of page tags, from their parents alone."""
+    deep = nodes.node_depths(derived.nested_tags(spark, sf_dir))
+    return deep.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("depth").cast("long").alias("deepest"), F.sum("depth").alias("total_depth"),
+        F.count_if(F.col("depth") == 1).alias("roots"),
+    )
+
+
+@query
+def feature_dead_letters(spark, sf_dir):
+    """Counts of good and failed snippets of one write, and every failed one with its error."""
+    good, failed = structural.write_features(derived.broken_texts(spark, sf_dir), fresh_path(spark, "features"))
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n"), F.sum("parse_error").cast("long").alias("n_errors")).select(
+            F.lit(name).alias("row"), "n", "n_errors"
+        )
+        for name, df in (("good", good), ("failed", failed))
+    ]
+    kind = F.substring_index("error", ":", 1)
+    letters = failed.select(F.concat_ws(" ", kind, "id").alias("row"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_errors"))
+    return columns.stack(*counts, letters)
+
+
+@query
+def token_cache(spark, sf_dir):
+    """Token sequences through a fingerprinted table: the second reader builds nothing."""
+    source, path = derived.texts(spark, sf_dir), fresh_path(spark, "tokens")
+    files, built = [derived.table(spark, sf_dir, "documents")], []
+
+    def tokens(max_length):
+        def build():
+            built.append(max_length)
+            return sequences.encode_sequences(source, sequences.vocabulary(source, size=30_000), max_length, pad=False)
+
+        return artifacts.fingerprinted_table(spark, path, build, files, {"max_length": max_length, "size": 30_000})
+
+    tokens(512)
+    rows = tokens(512)
+    return rows.select(
+        "id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"), F.lit(len(built)).cast("long").alias("builds")
+    )
+
+
+# --- jobs over files -------------------------------------------------------------
+
+
+def _task(spark: SparkSession, sf_dir: str) -> str:
+    """A data folder with the splits of task_a as snippet files."""
+    root = fresh_path(spark, "data")
+    rows = derived.origins(spark, sf_dir).withColumn("language", F.lit("text"))
+    names = {"train": "train", "dev": "val", "test": "test"}
+    for split, path in tasks.task_paths(root).items():
+        rows.where(F.col("split") == names[split]).drop("split").write.parquet(path)
+    return root
+
+
+@query
+def task_files(spark, sf_dir):
+    """Rows, labels and texts of each split as the task loader reads them."""
+    rows = tasks.load_task_split(spark, _task(spark, sf_dir))
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"), F.sum("id").alias("id_sum"), F.sum(F.length("code")).alias("chars")
+    )
+
+
+@query
+def inspect_data_job(spark, sf_dir):
+    return plans.inspect_data(spark, _task(spark, sf_dir))["labels"]
+
+
+@query
+def train_job(spark, sf_dir):
+    """Dev metrics that training a model from files to files leaves."""
+    done = plans.train(spark, "linear", "task_a", _task(spark, sf_dir), fresh_path(spark, "trained"), buckets=1 << 14, epochs=1)
+    return _rounded(done.select("accuracy", "f1_macro"))
+
+
+@query
+def score_all_job(spark, sf_dir):
+    """Test metrics of a trained model, and of one that is not there: the failure stands in its row."""
+    root, out = _task(spark, sf_dir), fresh_path(spark, "trained")
+    plans.train(spark, "linear", "task_a", root, out, buckets=1 << 14, epochs=1)
+    found = plans.score_all(spark, tasks.task_paths(root)["test"], out, models=["linear", "trees"])
+    return _rounded(found.select("model", "accuracy", "f1_macro", F.col("error").isNotNull().alias("failed")))
+
+
+@query
+def report_job(spark, sf_dir):
+    """The report's summary over the folders of three models and one that is not there."""
+    found = plans.report(spark, _experiments(spark, sf_dir), models=["A", "B", "C", "none"])
+    return _rounded(found.summary).withColumn("n_skipped", F.lit(len(found.skipped)).cast("long"))
+
+
+@query
+def inspect_predictions_job(spark, sf_dir):
+    counts = plans.inspect_predictions(spark, _experiments(spark, sf_dir), models=["A", "B", "C"])["counts"]
+    return counts.withColumn("value", F.col("value").cast("long"))
+
+
+@query
+def evaluate_csv_job(spark, sf_dir):
+    """Metrics of one prediction file, read back from the record that the job wrote."""
+    root, out = _experiments(spark, sf_dir), fresh_path(spark, "evaluated")
+    plans.evaluate_csv(spark, f"{layout.experiment(root, 'B', 'task_a')}/{layout.TEST_PREDICTIONS}", out)
+    return _rounded(metrics.read_records(spark, f"{out}/{layout.METRICS}"))
+
+
+@query
+def compare_models_job(spark, sf_dir):
+    """Accuracy and weighted F1 by split and model, read back from the nested file that the job wrote."""
+    preds, path = derived.predictions(spark, sf_dir), f"{fresh_path(spark, 'comparison')}.json"
+    each = {s: {m: preds.where((F.col("model") == m) & (F.col("split") == s)) for m in "AC"} for s in ("val", "test")}
+    plans.compare_models(each, path)
+    return _rounded(metrics.read_nested(spark, path))

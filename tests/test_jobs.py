@@ -191,3 +191,22 @@ def test_checkpoint_folders(spark, tmp_path):
     top = latest_checkpoint(found.withColumn("model", F.lit("m"))).first()
     assert top["step"] == 300 and top["path"].endswith("checkpoint-300")
     assert artifacts.child_folders(spark, str(tmp_path / "gone")).count() == 0
+
+
+def test_store_replaces_only_what_is_written(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = [(str(i), i % 2, 1, 0.5, m, s) for i in range(6) for m in ("A", "B", None) for s in ("val", "test")]
+    preds = spark.createDataFrame(rows, predictions.STORE_SCHEMA)
+    predictions.write_store(preds.withColumn("more", F.lit(1)), root)
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet") if "model=B" not in str(p)}
+    predictions.write_store(preds.where("model = 'B' AND split = 'val'").withColumn("y_pred", F.lit(0)), root)
+    assert before and all(p.stat().st_mtime_ns == t for p, t in before.items())
+    assert predictions.read_store(spark, root).count() == len(rows)
+    one = predictions.read_store(spark, root, models=["B"], splits=["val"])
+    assert {r["y_pred"] for r in one.collect()} == {0} and one.count() == 6
+    assert {r["y_pred"] for r in predictions.read_store(spark, root, models=["B"], splits=["test"]).collect()} == {1}
+    # Other folders are not opened.
+    assert len(one.inputFiles()) < len(predictions.read_store(spark, root).inputFiles()) or "PartitionFilters" in one._jdf.queryExecution().toString()
+    assert predictions.read_store(spark, root).where("model IS NULL").count() == 12
+    with pytest.raises(FileNotFoundError):
+        predictions.read_store(spark, str(tmp_path / "none"))

@@ -161,3 +161,17 @@ def test_wide_matrix_loses_no_label(spark):
     assert [tuple(r) for r in wide] == [(0, 1, 0, 0), (1, 0, 1, 1), (2, 0, 0, 1)]
     with pytest.raises(Exception, match="not listed"):
         C.confusion_wide(preds, labels=(0, 1)).collect()
+
+
+def test_curves_read_their_input_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    preds = spark.range(1000).select((F.col("id") % 2).cast("int").alias("y_true"), ((F.col("id") % 37) / 37.0).alias("y_proba"))
+    swept = W.sweep(preds.mapInArrow(counted, preds.schema))
+    W.roc_of_sweep(swept).collect(), W.pr_of_sweep(swept).collect(), W.areas_of_sweep(swept).collect()
+    assert reads.value == 1000

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillprint.operators import syntax
+from quillprint.operators import nodes, structural, syntax
 from quillprint.operators.lengths import LENGTH_COLUMNS, length_features
 from quillprint.operators.nodes import node_profile, python_node_profile
 from quillprint.operators.structural import (
@@ -233,3 +233,34 @@ def test_long_and_deep_code_is_parsed(spark):
     assert syntax_nodes(table).where("id = 2 AND node_type = 'BinOp'").count() == 1500
     plan = structural_features(table).select("id", "char_count")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_failed_rows_go_to_a_folder_of_their_own(spark, tmp_path):
+    """One parser stage, one write: every row is in one of both, with the counts that the plain features have."""
+    rows = [(i, "def f(:" if i % 5 == 0 else f"x{i} = f({i})", "python", i % 2) for i in range(40)] + [(40, None, None, 1), (41, "a;b", "c", 0)]
+    df = spark.createDataFrame(rows, "id long, code string, language string, label int")
+    good, failed = structural.write_features(df, str(tmp_path / "features"))
+    assert {r["id"] for r in failed.collect()} == set(range(0, 40, 5))
+    assert all(r["error"].startswith("SyntaxError: ") for r in failed.collect())
+    both = sorted(map(tuple, good.unionByName(failed.drop("error")).collect()))
+    assert both == sorted(map(tuple, structural.structural_features(df).select(*good.columns).collect()))
+    none = structural.write_features(df.limit(0), str(tmp_path / "none"))
+    assert [x.count() for x in none] == [0, 0]
+
+
+def test_depths_from_parents(spark):
+    """Chains, circles, orphans, repeated rows and rows without keys."""
+    rows = [("chain", i, i - 1 if i else None) for i in range(300)]
+    rows += [("star", 0, None), *[("star", i, 0) for i in range(1, 50)]]
+    rows += [("circle", 1, 2), ("circle", 2, 3), ("circle", 3, 1), ("circle", 4, 1), ("circle", 5, None), ("circle", 6, 6)]
+    rows += [("orphan", 1, 99), ("orphan", 2, 1), (None, 1, None), ("odd", None, 1), ("odd", 1, None), ("odd", 1, None), ("odd", 2, 1), ("odd", 2, None)]
+    df = spark.createDataFrame(rows, "id string, node_id long, parent_id long").withColumn("depth", F.lit("x"))
+    got = nodes.node_depths(df).collect()
+    assert len(got) == len(rows)
+    depth = {(r.id, r.node_id): r.depth for r in got}
+    assert all(depth["chain", i] == i + 1 for i in range(300))
+    assert depth["star", 0] == 1 and {depth["star", i] for i in range(1, 50)} == {2}
+    assert [depth["circle", i] for i in range(1, 7)] == [None, None, None, None, 1, None]
+    assert (depth["orphan", 1], depth["orphan", 2]) == (1, 2)
+    assert (depth[None, 1], depth["odd", None], depth["odd", 1], depth["odd", 2]) == (None, None, 1, 2)
+    assert nodes.node_depths(df.limit(0)).count() == 0
