@@ -8,9 +8,10 @@ few parts, so many that some group of two linked sets differs in fewer parts
 than it may lose: one of its subsets of parts has the same contents in both
 sets. The hash of each such subset is a signature, so linked sets share one.
 
-Candidates are checked exactly. Within a signature every set is first compared
-with two pivots only; of the further pairs, those are compared whose ends are
-not yet known to be connected and whose sizes and sketches allow a link.
+Copies of one set are compared as one. Candidates are checked exactly if their
+sizes and sketches allow a link. Within a signature every set is first compared
+with a pivot only, the set that meets most others; of the further pairs, those are
+compared whose ends are not yet known to be connected.
 """
 
 from __future__ import annotations
@@ -171,45 +172,40 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def set_keys(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Set size, a 128-bit key of the contents and a sketch for each row of ``docs (doc, text)``."""
+def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """For each row of ``docs (doc, text)``: set size, a 128-bit key of the contents, a sketch, the signatures.
+
+    Texts are cut into words and hashed once for all of these.
+    """
     names = ("n_shingles", "high", "low", *SKETCH)
-    schema = "doc long, " + ", ".join(f"{n} long" for n in names)
+    schema = "doc long, " + ", ".join(f"{n} long" for n in names) + ", sigs array<long>"
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            rows = np.zeros((batch.num_rows, len(names)), np.int64)
-            for row, t in zip(rows, batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(t, rule.words)
-                row[0] = len(found)
-                row[1:3] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                row[3:] = sketch(found)
-            columns = [pa.array(np.ascontiguousarray(c)) for c in rows.T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", *names])
-
-    return docs.mapInArrow(keys, schema)
-
-
-def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``(sig, doc)`` of every signature of every document."""
+        def rows(docs: list, traits: list, sigs: list) -> pa.RecordBatch:
+            columns = [pa.array(np.ascontiguousarray(c)) for c in np.array(traits, np.int64).reshape(len(docs), len(names)).T]
+            ends = np.cumsum([0, *[len(s) for s in sigs]], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *sigs])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns, lists], names=["doc", *names, "sigs"])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sigs, held = [], [], 0
+            docs, traits, sigs, held = [], [], [], 0
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = signatures(shingle_set(t, rule.words), rule)
-                ids.append(np.full(len(found), doc, np.int64))
-                sigs.append(found.view(np.int64))
-                held += len(found)
+                found = shingle_set(t, rule.words)
+                key = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+                docs.append(doc)
+                traits.append(np.concatenate(([len(found)], key, sketch(found))))
+                sigs.append(signatures(found, rule).view(np.int64))
+                held += len(sigs[-1])
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "doc"])
-                    ids, sigs, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "doc"])
+                    yield rows(docs, traits, sigs)
+                    docs, traits, sigs, held = [], [], [], 0
+            if docs:
+                yield rows(docs, traits, sigs)
 
-    return docs.mapInArrow(sign, "sig long, doc long")
+    return docs.mapInArrow(hashed, schema)
 
 
 def checked_pairs(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -247,25 +243,50 @@ def may_link(rule: Rule) -> Column:
     return fits & (differing * (100 + rule.percent) <= (n + m) * (100 - rule.percent))
 
 
-def similar_links(docs: DataFrame, keyed: DataFrame, rule: Rule) -> DataFrame:
+def first_pairs(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(sig, doc)`` of the signatures that several sets share, and pairs ``(a, b)`` of each such set with a pivot.
+
+    A set's degree is the number of its meetings: the sizes of all its
+    signatures' groups, summed. The pivot of a signature is the set of the
+    highest degree in it. Where many sets are changed copies of one, that one
+    shares more signatures than they share with each other, and one pair each
+    connects them.
+    """
+    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    shared = written(shared.where("low < high").select("sig", "n"), "shared")
+    rows = written(signed.join(shared, "sig").select("sig", "doc", "n"), "bucketed")
+    degree = written(rows.groupBy("doc").agg(F.sum("n").alias("degree")), "degrees")
+    ranked = rows.select("sig", "doc").join(degree, "doc")
+    pivots = written(ranked.groupBy("sig").agg(F.max(F.struct("degree", "doc"))["doc"].alias("pivot")), "pivots")
+    met = rows.join(pivots, "sig").where("doc != pivot")
+    pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+    return rows.select("sig", "doc"), pairs
+
+
+def likely_pairs(pairs: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose sizes and sketches leave room for a link."""
+    x = traits.select(F.col("doc").alias("a"), F.struct("n_shingles", *SKETCH).alias("x"))
+    y = traits.select(F.col("doc").alias("b"), F.struct("n_shingles", *SKETCH).alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(may_link(rule)).select("a", "b").distinct()
+
+
+def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:
     """``(a, b)``: links that connect exactly the documents which all links of ``docs (doc, text)`` connect.
 
-    ``keyed`` holds their sizes and sketches.
+    ``signed (sig, doc)`` holds their signatures, ``traits`` their sizes and sketches.
     """
-    signed = signature_rows(docs, rule)
-    shared = written(signed.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high"), "shared")
-    rows = written(signed.join(shared, "sig").select("sig", "doc", "low", "high"), "bucketed")
-    ends = F.array(*[F.struct(F.least("doc", p).alias("a"), F.greatest("doc", p).alias("b")) for p in ("low", "high")])
-    pairs = rows.select(F.inline(ends)).where("a < b").distinct()
-    known = None
+    rows, pairs = first_pairs(signed)
+    seen = checked = None
     for turn in range(1, PIVOT_ROUNDS + 1):
-        done = written(checked_pairs(written(pairs, "pairs"), docs, rule), "checked")
-        known = done if known is None else known.unionByName(done)
-        links = known.where("linked").select("a", "b")
-        last = turn == PIVOT_ROUNDS or (turn > 1 and done.where("linked").isEmpty())
+        pairs = written(pairs, "pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        done = written(checked_pairs(written(likely_pairs(pairs, traits, rule), "likely"), docs, rule).where("linked"), "checked")
+        checked = done if checked is None else checked.unionByName(done)
+        links = checked.select("a", "b")
+        last = turn == PIVOT_ROUNDS or (turn > 1 and done.isEmpty())
         # What is left: signatures whose sets are not all connected yet.
         reached = connected(links)
-        placed = rows.select("sig", "doc").join(reached.withColumnRenamed("node", "doc"), "doc", "left")
+        placed = rows.join(reached.withColumnRenamed("node", "doc"), "doc", "left")
         placed = placed.select("sig", "doc", F.coalesce("component", "doc").alias("component"))
         pivots = [F.min_by(F.struct("doc", "component"), F.xxhash64("doc", F.lit(2 * turn + i))).alias(f"p{i}") for i in (0, 1)]
         most = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *pivots)
@@ -274,21 +295,19 @@ def similar_links(docs: DataFrame, keyed: DataFrame, rule: Rule) -> DataFrame:
             break
         unsettled = written(placed.join(open_sigs, "sig"), "unsettled")
         if last:
-            traits = keyed.select("doc", "n_shingles", *SKETCH)
-            traits = traits.join(unsettled.select("doc").distinct(), "doc", "left_semi").dropDuplicates()
-            each = written(unsettled.select("sig", "doc", "component").join(traits, "doc"), "unsettled")
+            wanted = traits.join(unsettled.select("doc").distinct(), "doc", "left_semi").dropDuplicates()
+            each = written(unsettled.select("sig", "doc", "component").join(wanted, "doc"), "unsettled")
             # Pairs within the largest component of a signature need no look: one side is what lies outside it.
             sizes = each.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
             main = written(sizes.groupBy("sig").agg(F.max_by("component", "n").alias("main")), "main")
             outside = written(each.join(main, "sig").where("component != main"), "outside")
             apart = F.expr("x.sig = y.sig AND x.component != y.component")
             met = outside.alias("x").join(each.alias("y"), apart & may_link(rule)).select("x.doc", F.col("y.doc").alias("pivot"))
-            pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         else:
             ends = F.array(*[F.when(F.col("component") != F.col(f"p{i}.component"), F.col(f"p{i}.doc")) for i in (0, 1)])
             met = unsettled.select("doc", F.explode(F.array_compact(ends)).alias("pivot"))
-            pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-        pairs = pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+        pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
         if last:
             done = written(checked_pairs(written(pairs, "pairs"), docs, rule), "checked")
             return links.unionByName(done.where("linked").select("a", "b"))
@@ -306,12 +325,18 @@ def similar_documents(docs: DataFrame, rule: Rule | None = None, key: str = "doc
     """
     rule = rule or Rule()
     rows = docs.select(F.col(key).cast("long").alias("doc"), text_of(text).alias("text"))
-    keyed = written(set_keys(rows, rule), "set-keys")
-    # Copies of one set hang under the smallest of their keys.
+    hashed = written(hashed_sets(rows, rule), "hashed-sets")
+    keyed = hashed.select("doc", "n_shingles", "high", "low", *SKETCH)
+    # Copies of one set hang under the smallest of their keys, which alone is compared with other sets.
     worded = keyed.where("n_shingles > 0 AND doc IS NOT NULL")
     first = written(worded.groupBy("high", "low").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
-    copies = worded.join(first, ["high", "low"]).select("doc", "first").where("doc != first")
-    links = similar_links(rows.where("doc IS NOT NULL"), worded, rule)
-    found = connected(copies.toDF("a", "b").unionByName(links))
+    copies = worded.join(first, ["high", "low"]).select("doc", "high", "low", "first").where("doc != first")
+    copies = written(copies.distinct(), "copies")
+    repeated = small_or_shuffled(copies.drop("first"), BROADCAST_IDS)
+    alone = hashed.where("n_shingles > 0 AND doc IS NOT NULL").join(repeated, ["doc", "high", "low"], "left_anti")
+    signed = alone.select(F.explode("sigs").alias("sig"), "doc")
+    traits = written(alone.select("doc", "n_shingles", *SKETCH).distinct(), "traits")
+    links = similar_links(rows.where("doc IS NOT NULL"), signed, traits, rule)
+    found = connected(copies.select(F.col("doc").alias("a"), F.col("first").alias("b")).unionByName(links))
     joined = keyed.join(found, F.col("doc") == F.col("node"), "left")
     return joined.select(F.col("doc").alias(key), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
