@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillprint.llm.support import bound, dense_array, small_or_shuffled, spaced, spare, text_of, with_settled, words_of, written
+from quillprint.llm.support import bound, dense_array, small_or_shuffled, spare, text_of, with_settled, words_of, written
 
 N_BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -41,7 +41,11 @@ def word_hashes(text: str | Column) -> Column:
 def buckets_of(word: Column, following: Column, n_buckets: int) -> tuple[Column, Column]:
     """Buckets of a hashed word and of the pair it forms with its successor, ``END`` after the last."""
     pair = F.xxhash64(word, F.coalesce(following, F.lit(END)))
-    return F.pmod(word, F.lit(n_buckets)).cast("int"), F.pmod(pair, F.lit(n_buckets)).cast("int")
+    if n_buckets & (n_buckets - 1):
+        return F.pmod(word, F.lit(n_buckets)).cast("int"), F.pmod(pair, F.lit(n_buckets)).cast("int")
+    # The same remainders, faster.
+    mask = F.lit(n_buckets - 1).cast("long")
+    return word.bitwiseAND(mask).cast("int"), pair.bitwiseAND(mask).cast("int")
 
 
 def fold_of_text(text: str | Column) -> Column:
@@ -197,17 +201,18 @@ def quality_rules(
     """
     body = text_of(text)
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    own, h, ls, ws, cs = (spare(docs, f"_q_{n}") for n in ("ratios", "hashes", "lines", "windows", "counts"))
+    own, all_words, h, ls, ws, cs = (spare(docs, f"_q_{n}") for n in ("ratios", "words", "hashes", "lines", "windows", "counts"))
     # One projection a step: a value that lambdas read is worked out once, before them.
     # A scalar query hands the arrays of ratios to every task; only that of the text's fold goes with the row.
     known = docs.withColumns(
-        {own: F.get(ratios.select("ratios").scalar(), fold_of_text(text)), h: word_hashes(text), ls: lines}
-    ).withColumn(ws, windows_of(F.col(h)))
+        {own: F.get(ratios.select("ratios").scalar(), fold_of_text(text)), all_words: words_of(text), ls: lines}
+    )
+    known = known.withColumn(h, F.transform(all_words, lambda word: F.xxhash64(word))).withColumn(ws, windows_of(F.col(h)))
     hashes, found = F.col(h), F.col(ls)
     counts = {
         "n_words": F.size(hashes),
-        "word_chars": F.length(without(spaced(text), " ")),
-        "n_symbols": F.length(body) - F.length(F.translate(body, SYMBOLS, "")),
+        "word_chars": F.length(F.array_join(all_words, "")),
+        "n_symbols": F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")),
         "n_dup_lines": F.size(found) - F.size(F.array_distinct(found)),
         "n_repeat_words": repeated_words(F.col(ws)),
     }
@@ -218,4 +223,4 @@ def quality_rules(
     q = F.col(cs)
     failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeated_percent * q["n_words"])
     verdict = F.struct(f"{cs}.*", failed.alias("base_failed"), (~failed & (q["ratio"] >= threshold)).alias("kept"))
-    return with_settled(known.withColumn(cs, counted), "quality", verdict).drop(own, h, ls, ws, cs)
+    return with_settled(known.withColumn(cs, counted), "quality", verdict).drop(own, all_words, h, ls, ws, cs)

@@ -29,7 +29,7 @@ def spaced(column: str | Column) -> Column:
 
 def words_of(column: str | Column) -> Column:
     """Words between runs of white space; an empty array for a text without any."""
-    return F.array_remove(F.split(spaced(column), " "), "")
+    return F.array_remove(F.split(text_of(column), r"[\x20\x09-\x0D]+"), "")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
