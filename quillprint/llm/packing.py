@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ REMEMBERED = 800_000
 # White space as the tokenizer's pattern understands it.
 BLANK = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+# Texts on which a tokenizer must agree with its own ids of their chunks.
+PROBES = ("a b. c, d", "one  two\n\nthree \t four.", " lead, trail ", "x.y,z. ..", "don't stop, 12 + 3,4.", "\u00e9\u0301 \u4e2d\u6587, \U0001f600.")
 PIECE_TYPE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 ID_BYTES = 4
 
@@ -46,23 +49,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model, self.known = Tokenizer.from_file(path), {}
+        for probe in PROBES:
+            if self([probe])[0] != self.encoded([probe])[0]:
+                raise ValueError(f"the tokenizer of {path} joins characters across white space")
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by the tokenizer itself."""
+        return [pack(f"<{len(c.ids)}I", *c.ids) for c in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [CHUNK.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = {c for doc in chunks for c in doc if c not in known}
+        new = set().union(*chunks).difference(known)
         # A stop or comma right after a letter at the end of a chunk is always encoded by itself.
         ended = [c for c in new if c[-1] in ".," and len(c) > 1 and c[-2].isalpha()]
-        plain = list((new.difference(ended) | {c[:-1] for c in ended} | {".", ","}) - known.keys())
+        plain = list((new.difference(ended) | {c[:-1] for c in ended} | {".", ","}).difference(known))
         for at in range(0, len(plain), 10_000):
             part = plain[at : at + 10_000]
-            for chunk, code in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(code.ids, "<u4").tobytes()
+            known.update(zip(part, self.encoded(part), strict=True))
         for c in ended:
             known[c] = known[c[:-1]] + known[c[-1]]
-        return [b"".join([known[c] for c in doc]) for doc in chunks]
+        return [b"".join(map(known.__getitem__, doc)) for doc in chunks]
 
 
 @lru_cache(maxsize=2)
