@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,12 @@ from quillprint.llm.support import text_of
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct words whose pieces a Python worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Bytes of words and their pieces, about, that a Python worker remembers before it starts afresh.
+REMEMBERED_BYTES = 96_000_000
+#: What a remembered word takes besides its characters and pieces.
+WORD_BYTES = 160
+#: Texts that are cut into words at a time, and characters of them.
+BATCH_TEXTS, BATCH_CHARS = 512, 4_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -39,7 +43,7 @@ class Pieces:
     bytes_at: list[int]
     texts: list[str]
     unknown: int
-    reach: dict[str, int]  # the last two characters of pieces: length of the longest that ends so
+    long: dict[str, tuple[int, ...]]  # the last three characters of longer pieces: their lengths, falling
     unknown_score: float
 
 
@@ -70,56 +74,120 @@ def vocabulary(path: str, by_rank: bool = True) -> Pieces:
         if model.is_byte(i):
             at[int(texts[i][1:-1], 16)] = i
     lowest = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-    reach: dict[str, int] = {}
+    lengths: dict[str, set[int]] = {}
     for piece in scores:
-        reach[piece[-2:]] = max(len(piece), reach.get(piece[-2:], 0))
-    return Pieces({texts[i]: i for i in plain}, scores, at, texts, model.unk_id(), reach, lowest)
+        if len(piece) > 3:
+            lengths.setdefault(piece[-3:], set()).add(len(piece))
+    long = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
+    return Pieces({texts[i]: i for i in plain}, scores, at, texts, model.unk_id(), long, lowest)
 
 
-def segment(words: list[str], known: Pieces) -> dict[str, list[int]]:
-    """The best pieces of every word; of equal scores the one with the longer last piece."""
-    scores, reach, out = known.scores, known.reach, {}
-    best, back, previous = [0.0], [0], ""
-    for word in sorted(words):
-        shared, limit = 0, min(len(word), len(previous))
-        while shared < limit and word[shared] == previous[shared]:
-            shared += 1
-        del best[shared + 1 :], back[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            top, start = best[end - 1] + known.unknown_score, end - 1
-            for begin in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
-                score = scores.get(word[begin:end])
-                if score is not None and best[begin] + score > top:
-                    top, start = best[begin] + score, begin
-            best.append(top)
-            back.append(start)
+class Segmenter:
+    """The best pieces of words; of equal scores the one with the longer last piece."""
+
+    def __init__(self, known: Pieces) -> None:
+        self.known = known
+        self.endings: dict[str, tuple[tuple[int, ...], tuple[tuple[int, float], ...]]] = {}
+
+    def ending(self, end: str) -> tuple[tuple[int, ...], tuple[tuple[int, float], ...]]:
+        """What may end a word here, by its last three characters: lengths of longer pieces, and short pieces with scores."""
+        scores = self.known.scores
+        short = tuple((k, scores[end[-k:]]) for k in range(len(end), 0, -1) if end[-k:] in scores)
+        found = (self.known.long.get(end, ()), short)
+        if len(self.endings) < 1_000_000:
+            self.endings[end] = found
+        return found
+
+    def __call__(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of every word, as little-endian bytes."""
+        scores, endings, unknown, out = self.known.scores, self.endings, self.known.unknown_score, {}
+        best, back, previous = [0.0], [0], ""
+        for word in sorted(words):
+            shared, limit = 0, min(len(word), len(previous))
+            while shared < limit and word[shared] == previous[shared]:
+                shared += 1
+            del best[shared + 1 :], back[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                key = word[end - 3 : end] if end > 2 else word[:end]
+                found = endings.get(key) or self.ending(key)
+                top, start = best[-1] + unknown, end - 1
+                for k in found[0]:
+                    if k <= end:
+                        score = scores.get(word[end - k : end])
+                        if score is not None and best[end - k] + score > top:
+                            top, start = best[end - k] + score, end - k
+                for k, score in found[1]:
+                    if best[end - k] + score > top:
+                        top, start = best[end - k] + score, end - k
+                best.append(top)
+                back.append(start)
+            out[word] = self.ids(word, back)
+            previous = word
+        return out
+
+    def ids(self, word: str, back: list[int]) -> bytes:
         cuts, end = [], len(word)
         while end:
-            cuts.append((back[end], end))
+            cuts.append(word[back[end] : end])
             end = back[end]
-        ids: list[int] = []
-        for begin, end in reversed(cuts):
-            number = known.ids.get(word[begin:end])
+        numbers, ids = self.known.ids, []
+        for piece in reversed(cuts):
+            number = numbers.get(piece)
             if number is not None:
                 ids.append(number)
             else:
-                raw = [known.bytes_at[b] for b in word[begin:end].encode("utf-8", "surrogatepass")]
-                ids += [known.unknown] if -1 in raw else raw
-        out[word] = ids
-        previous = word
-    return out
+                raw = [self.known.bytes_at[b] for b in piece.encode("utf-8", "surrogatepass")]
+                ids += [self.known.unknown] if -1 in raw else raw
+        return pack(f"<{len(ids)}i", *ids)
+
+
+def segment(words: list[str], known: Pieces) -> dict[str, list[int]]:
+    """The best pieces of every word."""
+    return {w: np.frombuffer(ids, "<i4").tolist() for w, ids in Segmenter(known)(words).items()}
 
 
 class Encoder:
+    """Ids of whole texts; words that were met before are looked up."""
+
     def __init__(self, path: str, by_rank: bool) -> None:
-        self.known, self.words = vocabulary(path, by_rank), {}
+        self.known = vocabulary(path, by_rank)
+        self.segmenter, self.words, self.held = Segmenter(self.known), {}, 0
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         docs = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        self.words.update(segment(list(set().union(*docs) - self.words.keys()), self.known))
-        return [np.array(list(chain.from_iterable(map(self.words.__getitem__, d))), np.int32) for d in docs]
+        if self.held > REMEMBERED_BYTES:
+            self.words, self.held = {}, 0
+        new = self.segmenter(list(set().union(*docs).difference(self.words)))
+        self.held += sum(map(len, new)) * 2 + sum(map(len, new.values())) + WORD_BYTES * len(new)
+        self.words.update(new)
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, d)), "<i4") for d in docs]
+
+    def batches(self, texts: pd.Series) -> Iterator[np.ndarray]:
+        """Ids of all texts, a few texts or a long one at a time."""
+        part, chars = [], 0
+        for t in texts:
+            part.append(t)
+            chars += len(t)
+            if len(part) == BATCH_TEXTS or chars > BATCH_CHARS:
+                yield from self(part)
+                part, chars = [], 0
+        yield from self(part)
+
+
+class Decoder:
+    """The text of ids: pieces joined, bytes put together, marks made spaces, the first mark taken away."""
+
+    def __init__(self, known: Pieces) -> None:
+        self.known = known
+        self.of_byte = {i: b for b, i in enumerate(known.bytes_at) if i >= 0}
+        self.is_byte = np.zeros(len(known.texts), bool)
+        self.is_byte[list(self.of_byte)] = True
+
+    def __call__(self, ids: np.ndarray) -> str:
+        if len(ids) and self.is_byte[ids].any():
+            return decode_ids(ids.tolist(), self.known, self.of_byte)
+        text = "".join(map(self.known.texts.__getitem__, ids.tolist())).replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
 
 
 def decode_ids(ids: list[int], known: Pieces, of_byte: dict[int, int]) -> str:
@@ -142,15 +210,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", by_rank: bool = True)
     """``docs`` with ``piece_ids``, an array of int; empty for null and empty texts.
 
     Each row is encoded by itself, whole; other columns stay where they are and
-    an existing ``piece_ids`` is replaced.
+    an existing ``piece_ids`` is replaced. A mark in a text is read as a space,
+    and decodes to one.
     """
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(path, by_rank)
         for series in texts:
-            found = [x for at in range(0, len(series), 512) for x in encoder(series.iloc[at : at + 512].tolist())]
-            yield pd.Series(found, dtype=object)
+            yield pd.Series(list(encoder.batches(series)), dtype=object)
 
     return docs.withColumn("piece_ids", ids(text_of(text)))
 
@@ -160,20 +228,33 @@ def decode(encoded: DataFrame, path: str, ids: str = "piece_ids", into: str = "d
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = vocabulary(path)
-        of_byte = {i: b for b, i in enumerate(known.bytes_at) if i >= 0}
+        decoder = Decoder(vocabulary(path))
         for series in batches:
-            yield pd.Series([decode_ids(x.tolist(), known, of_byte) for x in series], dtype=object)
+            yield pd.Series([decoder(np.asarray(x)) for x in series], dtype=object)
 
     return encoded.withColumn(into, texts(F.coalesce(ids, F.array().cast("array<int>"))))
 
 
 def encoding_digest(docs: DataFrame, path: str) -> DataFrame:
-    """Numbers of pieces and of bytes, a checksum of the ids, and whether decoding gives the text back."""
-    back = decode(encode(docs, path), path)
-    return back.select(
+    """Numbers of pieces and of bytes, a checksum of the ids, and whether decoding gives the text back.
+
+    Encoding and decoding share one worker; only ids and the answer leave it.
+    """
+
+    @F.pandas_udf("ids array<int>, back boolean")
+    def checked(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(path, True)
+        decoder = Decoder(encoder.known)
+        for series in texts:
+            ids = list(encoder.batches(series))
+            back = [decoder(x) == t for x, t in zip(ids, series, strict=True)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "back": pd.Series(back, dtype=bool)})
+
+    found = docs.select("doc_id", checked(text_of("text")).alias("found"))
+    ids = F.col("found.ids")
+    return found.select(
         "doc_id",
-        F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.crc32(F.array_join(F.col("piece_ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"),
-        (F.col("decoded") == text_of("text")).alias("round_trip"),
+        F.size(ids).cast("long").alias("n_pieces"),
+        F.crc32(F.array_join(ids.cast("array<string>"), " ").cast("binary")).alias("ids_crc32"),
+        F.col("found.back").alias("round_trip"),
     )
