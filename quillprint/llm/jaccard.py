@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillprint.llm.components import connected
 from quillprint.llm.support import small_or_shuffled, text_of, written
 
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 BROADCAST_IDS = 200_000
 SKETCH = ("s0", "s1", "s2", "s3")
 
@@ -208,10 +208,11 @@ def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(hashed, schema)
 
 
-def checked_pairs(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """``(a, b, linked)`` of ``pairs (a, b)``: the exact similarity decides.
+def checked_pairs(pairs: DataFrame, docs: DataFrame, rule: Rule, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, linked)`` of ``pairs (a, b)``, and the sets ``(doc, shingles)`` that decided: the exact similarity does.
 
-    Only documents that occur in a pair are read into sets again.
+    Only documents that occur in a pair, and whose sets are not ``held`` from
+    earlier pairs, are read into sets again.
     """
 
     @F.pandas_udf("binary")
@@ -226,13 +227,15 @@ def checked_pairs(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             out.append(rule.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
         return pd.Series(out, dtype=bool)
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "paired")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    ids = written(ids if held is None else ids.join(held.select("doc"), "doc", "left_anti"), "paired")
     needed = docs.join(small_or_shuffled(ids, BROADCAST_IDS), "doc", "left_semi")
     sets = written(needed.select("doc", packed("text").alias("shingles")), "sets")
+    sets = sets if held is None else held.unionByName(sets)
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", linked("left", "right").alias("linked"))
+    return both.select("a", "b", linked("left", "right").alias("linked")), sets
 
 
 def may_link(rule: Rule) -> Column:
@@ -252,9 +255,10 @@ def first_pairs(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     shares more signatures than they share with each other, and one pair each
     connects them.
     """
-    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = written(shared.where("low < high").select("sig", "n"), "shared")
-    rows = written(signed.join(shared, "sig").select("sig", "doc", "n"), "bucketed")
+    # Counted and joined as dealt: signatures, most of which occur once, are shuffled once for both.
+    dealt = signed.repartition("sig")
+    shared = dealt.groupBy("sig").agg(F.count("doc").alias("n")).where("n > 1")
+    rows = written(dealt.join(shared, "sig").select("sig", "doc", "n"), "bucketed")
     degree = written(rows.groupBy("doc").agg(F.sum("n").alias("degree")), "degrees")
     ranked = rows.select("sig", "doc").join(degree, "doc")
     pivots = written(ranked.groupBy("sig").agg(F.max(F.struct("degree", "doc"))["doc"].alias("pivot")), "pivots")
@@ -276,11 +280,12 @@ def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: R
     ``signed (sig, doc)`` holds their signatures, ``traits`` their sizes and sketches.
     """
     rows, pairs = first_pairs(signed)
-    seen = checked = None
+    seen = checked = held = None
     for turn in range(1, PIVOT_ROUNDS + 1):
         pairs = written(pairs, "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        done = written(checked_pairs(written(likely_pairs(pairs, traits, rule), "likely"), docs, rule).where("linked"), "checked")
+        decided, held = checked_pairs(written(likely_pairs(pairs, traits, rule), "likely"), docs, rule, held)
+        done = written(decided.where("linked"), "checked")
         checked = done if checked is None else checked.unionByName(done)
         links = checked.select("a", "b")
         last = turn == PIVOT_ROUNDS or (turn > 1 and done.isEmpty())
@@ -309,8 +314,8 @@ def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: R
         pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
         if last:
-            done = written(checked_pairs(written(pairs, "pairs"), docs, rule), "checked")
-            return links.unionByName(done.where("linked").select("a", "b"))
+            decided, _ = checked_pairs(written(pairs, "pairs"), docs, rule, held)
+            return links.unionByName(written(decided.where("linked").select("a", "b"), "checked"))
     return links
 
 
