@@ -30,6 +30,8 @@ STEP = 1e-3
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
+#: So many different windows of a text are looked up one by one.
+FEW_REPEATED = 16
 # Stands for the successor of the last word of a text.
 END = 0
 
@@ -147,8 +149,9 @@ def windows_of(hashes: Column) -> Column:
 def repeated_words(windows: Column) -> Column:
     """Words inside windows that occur twice or more in the text.
 
-    Equal windows are found by sorting them with their places, which keeps very
-    long and very repetitive texts from costing their square.
+    Where few windows repeat, as sorting shows, every window is looked up among
+    them. Else windows are sorted with their places, which keeps very long and
+    very repetitive texts from costing their square.
     """
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
@@ -159,8 +162,24 @@ def repeated_words(windows: Column) -> Column:
         )
         return F.size(F.array_distinct(F.flatten(F.array_compact(beside))))
 
+    def of_few(twice: Column) -> Column:
+        found = F.transform(windows, lambda h, i: F.when(F.array_contains(twice, h), i))
+        return bound(F.array_compact(found), covered)
+
+    def covered(at: Column) -> Column:
+        # A window covers three words, or those up to the next such window.
+        steps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
+        return F.aggregate(steps, F.lit(0), lambda a, n: a + n)
+
+    def by_number(twice: Column) -> Column:
+        return F.when(F.size(twice) <= FEW_REPEATED, of_few(twice)).otherwise(bound(placed, places))
+
+    def equal_neighbours(s: Column) -> Column:
+        following = F.slice(s, 2, F.size(s))
+        return F.array_distinct(F.array_compact(F.zip_with(s, following, lambda a, b: F.when(a == b, a))))
+
     unique = F.size(F.array_distinct(windows)) == F.size(windows)
-    return F.when(unique, 0).otherwise(bound(placed, places))
+    return F.when(unique, 0).otherwise(bound(bound(F.sort_array(windows), equal_neighbours), by_number))
 
 
 def mean_ratio(hashes: Column, ratios: Column, n_buckets: int) -> Column:
