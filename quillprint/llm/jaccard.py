@@ -166,46 +166,61 @@ def signatures(shingles: np.ndarray, rule: Rule) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parity of the shingles in each of 256 classes; two sets differ in at least as many shingles as in bits."""
-    odd = np.bincount((mix(shingles ^ TAG_C) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def sketch(shingles: np.ndarray, words: int = 4) -> np.ndarray:
+    """The parity of the shingles in each of ``64 * words`` classes; two sets differ in at least as many shingles as in bits."""
+    classes = 64 * words
+    odd = np.bincount((mix(shingles ^ TAG_C) & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def hashed_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """For each row of ``docs (doc, text)``: set size, a 128-bit key of the contents, a sketch, the signatures.
+def fine_words(size: int) -> int:
+    """Words of a set's fine sketch: about as many bits as shingles, so that unlike sets differ in more bits than linked ones may."""
+    return 1 << max(2, min(9, (size >> 6).bit_length()))
 
-    Texts are cut into words and hashed once for all of these.
-    """
+
+def set_traits(docs: DataFrame, rule: Rule) -> DataFrame:
+    """For each row of ``docs (doc, text)``: set size, a 128-bit key of the contents, a short and a fine sketch."""
     names = ("n_shingles", "high", "low", *SKETCH)
-    schema = "doc long, " + ", ".join(f"{n} long" for n in names) + ", sigs array<long>"
+    schema = "doc long, " + ", ".join(f"{n} long" for n in names) + ", fine array<long>"
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        def rows(docs: list, traits: list, sigs: list) -> pa.RecordBatch:
-            columns = [pa.array(np.ascontiguousarray(c)) for c in np.array(traits, np.int64).reshape(len(docs), len(names)).T]
-            ends = np.cumsum([0, *[len(s) for s in sigs]], dtype=np.int32)
-            flat = np.concatenate([np.empty(0, np.int64), *sigs])
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns, lists], names=["doc", *names, "sigs"])
+        for batch in batches:
+            rows, fine = np.zeros((batch.num_rows, len(names)), np.int64), []
+            for row, t in zip(rows, batch.column(1).to_pylist(), strict=True):
+                found = shingle_set(t, rule.words)
+                row[0] = len(found)
+                row[1:3] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+                row[3:] = sketch(found)
+                fine.append(sketch(found, fine_words(len(found))))
+            columns = [pa.array(np.ascontiguousarray(c)) for c in rows.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(fine, pa.list_(pa.int64()))], names=["doc", *names, "fine"])
+
+    return docs.mapInArrow(traits, schema)
+
+
+def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``(sig, doc)`` of every signature of every document."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(ids: list, sigs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "doc"])
 
         for batch in batches:
-            docs, traits, sigs, held = [], [], [], 0
+            ids, sigs, held = [], [], 0
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(t, rule.words)
-                key = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                docs.append(doc)
-                traits.append(np.concatenate(([len(found)], key, sketch(found))))
-                sigs.append(signatures(found, rule).view(np.int64))
-                held += len(sigs[-1])
+                found = signatures(shingle_set(t, rule.words), rule)
+                ids.append(np.full(len(found), doc, np.int64))
+                sigs.append(found.view(np.int64))
+                held += len(found)
                 if held > 200_000:
-                    yield rows(docs, traits, sigs)
-                    docs, traits, sigs, held = [], [], [], 0
-            if docs:
-                yield rows(docs, traits, sigs)
+                    yield rows(ids, sigs)
+                    ids, sigs, held = [], [], 0
+            if held:
+                yield rows(ids, sigs)
 
-    return docs.mapInArrow(hashed, schema)
+    return docs.mapInArrow(sign, "sig long, doc long")
 
 
 def checked_pairs(pairs: DataFrame, docs: DataFrame, rule: Rule, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -269,9 +284,15 @@ def first_pairs(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def likely_pairs(pairs: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:
     """Those of ``pairs (a, b)`` whose sizes and sketches leave room for a link."""
-    x = traits.select(F.col("doc").alias("a"), F.struct("n_shingles", *SKETCH).alias("x"))
-    y = traits.select(F.col("doc").alias("b"), F.struct("n_shingles", *SKETCH).alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(may_link(rule)).select("a", "b").distinct()
+    x = traits.select(F.col("doc").alias("a"), F.struct("n_shingles", "fine", *SKETCH).alias("x"))
+    y = traits.select(F.col("doc").alias("b"), F.struct("n_shingles", "fine", *SKETCH).alias("y"))
+    both = pairs.join(x, "a").join(y, "b").where(may_link(rule))
+    bits = F.zip_with("x.fine", "y.fine", lambda v, w: F.bit_count(v.bitwiseXOR(w)).cast("long"))
+    differing = F.aggregate(bits, F.lit(0).cast("long"), lambda a, n: a + n)
+    room = (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - rule.percent)
+    # Fine sketches of different widths say nothing.
+    other = F.size("x.fine") != F.size("y.fine")
+    return both.where(other | (differing * (100 + rule.percent) <= room)).select("a", "b").distinct()
 
 
 def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:
@@ -300,7 +321,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: R
             break
         unsettled = written(placed.join(open_sigs, "sig"), "unsettled")
         if last:
-            wanted = traits.join(unsettled.select("doc").distinct(), "doc", "left_semi").dropDuplicates()
+            wanted = traits.drop("fine").join(unsettled.select("doc").distinct(), "doc", "left_semi").dropDuplicates()
             each = written(unsettled.select("sig", "doc", "component").join(wanted, "doc"), "unsettled")
             # Pairs within the largest component of a signature need no look: one side is what lies outside it.
             sizes = each.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -314,7 +335,8 @@ def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: R
         pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
         if last:
-            decided, _ = checked_pairs(written(pairs, "pairs"), docs, rule, held)
+            likely = written(likely_pairs(written(pairs, "pairs"), traits, rule), "likely")
+            decided, _ = checked_pairs(likely, docs, rule, held)
             return links.unionByName(written(decided.where("linked").select("a", "b"), "checked"))
     return links
 
@@ -330,18 +352,19 @@ def similar_documents(docs: DataFrame, rule: Rule | None = None, key: str = "doc
     """
     rule = rule or Rule()
     rows = docs.select(F.col(key).cast("long").alias("doc"), text_of(text).alias("text"))
-    hashed = written(hashed_sets(rows, rule), "hashed-sets")
-    keyed = hashed.select("doc", "n_shingles", "high", "low", *SKETCH)
+    keyed = written(set_traits(rows, rule), "traits")
     # Copies of one set hang under the smallest of their keys, which alone is compared with other sets.
     worded = keyed.where("n_shingles > 0 AND doc IS NOT NULL")
-    first = written(worded.groupBy("high", "low").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
-    copies = worded.join(first, ["high", "low"]).select("doc", "high", "low", "first").where("doc != first")
-    copies = written(copies.distinct(), "copies")
+    keys = worded.select("doc", "high", "low")
+    first = written(keys.groupBy("high", "low").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    copies = written(keys.join(first, ["high", "low"]).where("doc != first").select("doc", "high", "low", "first").distinct(), "copies")
     repeated = small_or_shuffled(copies.drop("first"), BROADCAST_IDS)
-    alone = hashed.where("n_shingles > 0 AND doc IS NOT NULL").join(repeated, ["doc", "high", "low"], "left_anti")
-    signed = alone.select(F.explode("sigs").alias("sig"), "doc")
-    traits = written(alone.select("doc", "n_shingles", *SKETCH).distinct(), "traits")
-    links = similar_links(rows.where("doc IS NOT NULL"), signed, traits, rule)
+    alone = worded.join(repeated, ["doc", "high", "low"], "left_anti")
+    traits = written(alone.select("doc", "n_shingles", "fine", *SKETCH).distinct(), "traits")
+    # A document that has a set of its own besides is signed.
+    dropped = written(copies.select("doc").distinct().join(traits.select("doc"), "doc", "left_anti"), "dropped")
+    single = rows.where("doc IS NOT NULL").join(small_or_shuffled(dropped, BROADCAST_IDS), "doc", "left_anti")
+    links = similar_links(rows.where("doc IS NOT NULL"), signature_rows(single, rule), traits, rule)
     found = connected(copies.select(F.col("doc").alias("a"), F.col("first").alias("b")).unionByName(links))
     joined = keyed.join(found, F.col("doc") == F.col("node"), "left")
     return joined.select(F.col("doc").alias(key), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
