@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,11 +27,11 @@ from quillprint.llm.support import text_of
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of words and their pieces, about, that a Python worker remembers before it starts afresh.
-REMEMBERED_BYTES = 96_000_000
+REMEMBERED_BYTES = 48_000_000
 #: What a remembered word takes besides its characters and pieces.
 WORD_BYTES = 160
 #: Texts that are cut into words at a time, and characters of them.
-BATCH_TEXTS, BATCH_CHARS = 512, 4_000_000
+BATCH_TEXTS, BATCH_CHARS = 256, 2_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -94,7 +95,7 @@ class Segmenter:
         scores = self.known.scores
         short = tuple((k, scores[end[-k:]]) for k in range(len(end), 0, -1) if end[-k:] in scores)
         found = (self.known.long.get(end, ()), short)
-        if len(self.endings) < 1_000_000:
+        if len(self.endings) < 200_000:
             self.endings[end] = found
         return found
 
@@ -238,23 +239,20 @@ def decode(encoded: DataFrame, path: str, ids: str = "piece_ids", into: str = "d
 def encoding_digest(docs: DataFrame, path: str) -> DataFrame:
     """Numbers of pieces and of bytes, a checksum of the ids, and whether decoding gives the text back.
 
-    Encoding and decoding share one worker; only ids and the answer leave it.
+    Encoding and decoding share one worker, which holds the ids of a few texts at
+    a time; only the numbers leave it.
     """
 
-    @F.pandas_udf("ids array<int>, back boolean")
+    @F.pandas_udf("n_pieces long, ids_crc32 long, round_trip boolean")
     def checked(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path, True)
         decoder = Decoder(encoder.known)
+        numbers = [b"%d " % i for i in range(len(encoder.known.texts))]
         for series in texts:
-            ids = list(encoder.batches(series))
-            back = [decoder(x) == t for x, t in zip(ids, series, strict=True)]
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "back": pd.Series(back, dtype=bool)})
-
-    found = docs.select("doc_id", checked(text_of("text")).alias("found"))
-    ids = F.col("found.ids")
-    return found.select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_pieces"),
-        F.crc32(F.array_join(ids.cast("array<string>"), " ").cast("binary")).alias("ids_crc32"),
-        F.col("found.back").alias("round_trip"),
-    )
+            rows = []
+            for ids, text in zip(encoder.batches(series), series, strict=True):
+                written = b"".join(map(numbers.__getitem__, ids.tolist()))[:-1]
+                rows.append((len(ids), zlib.crc32(written), decoder(ids) == text))
+            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "round_trip"])
+
+    return docs.select("doc_id", checked(text_of("text")).alias("found")).select("doc_id", "found.*")
