@@ -128,22 +128,21 @@ def test_lm_scores(spark, sf_dir, texts):
     trained = {d: t for d, t in texts.items() if fold(d, 10)}
     count = Counter(w for t in trained.values() for w in [*lowered_words(t), None])
     n, v = sum(count.values()), len(count)
-    states = {w for w, c in count.items() if c >= max(2, 1e-4 * n)}
     pairs: Counter = Counter()
+    triples: Counter = Counter()
     for t in trained.values():
         own = [*lowered_words(t), None]
-        pairs.update((a, b) for a, b in zip(own, own[1:], strict=False) if a in states and b in states)
-    pairs = Counter({p: c for p, c in pairs.items() if c > 1})
-    taken: Counter = Counter()
-    for (a, _), c in pairs.items():
-        taken[a] += (c - 0.75) / count[a]
+        pairs.update(zip(own, own[1:], strict=False))
+        triples.update(zip(own, own[1:], own[2:], strict=False))
     for r in rows(spark, sf_dir, "op9_lm_scoring"):
         own = [*lowered_words(texts[r.doc_id]), None]
         single = [(count[w] + 0.1) / (n + 0.1 * (v + 1)) for w in own]
-        score = log10(single[0])
-        for a, b, p in zip(own, own[1:], single[1:], strict=False):
-            if a in states:
-                p = (1 - taken[a]) * p + ((pairs[a, b] - 0.75) / count[a] if (a, b) in pairs else 0)
+        score = 0.0
+        for i, p in enumerate(single):
+            if i > 0:
+                p = (pairs[tuple(own[i - 1 : i + 1])] + 1000 * p) / (count[own[i - 1]] + 1000)
+            if i > 1:
+                p = (triples[tuple(own[i - 2 : i + 1])] + 3 * p) / (pairs[tuple(own[i - 2 : i])] + 3)
             score += log10(p)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in count for w in own), n)
         assert r.held_out == (fold(r.doc_id, 10) == 0)
