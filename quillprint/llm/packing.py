@@ -31,6 +31,9 @@ REMEMBERED = 800_000
 # White space as the tokenizer's pattern understands it.
 BLANK = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+# One space and a word: such chunks can be told apart again after they were encoded together.
+SPACED = re.compile(f" [^{BLANK}]+")
+ENCODED_TOGETHER = 1_000
 # Texts on which a tokenizer must agree with its own ids of their chunks.
 PROBES = ("a b. c, d", "one  two\n\nthree \t four.", " lead, trail ", "x.y,z. ..", "don't stop, 12 + 3,4.", "\u00e9\u0301 \u4e2d\u6587, \U0001f600.")
 PIECE_TYPE = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
@@ -42,13 +45,20 @@ class WordTokenizer:
 
     The tokenizer never joins characters across the start of a run of white
     space, so each run with the word after it can be encoded by itself and its
-    ids remembered.
+    ids remembered. Where bytes are the alphabet, a token that starts with a
+    space shows where a chunk of one space and a word starts, and many chunks
+    are encoded as one text.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model, self.known = Tokenizer.from_file(path), {}
+        names = self.model.get_vocab() if isinstance(self.model.pre_tokenizer, ByteLevel) else {}
+        # Fixed value: the letter that stands for a space in such vocabularies.
+        self.spaced = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         for probe in PROBES:
             if self([probe])[0] != self.encoded([probe])[0]:
                 raise ValueError(f"the tokenizer of {path} joins characters across white space")
@@ -57,6 +67,19 @@ class WordTokenizer:
         """Ids of texts by the tokenizer itself."""
         return [pack(f"<{len(c.ids)}I", *c.ids) for c in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encoded_together(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that ``SPACED`` matches."""
+        groups = [chunks[at : at + ENCODED_TOGETHER] for at in range(0, len(chunks), ENCODED_TOGETHER)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self.encoded(["".join(g) for g in groups]), strict=True):
+            numbers = np.frombuffer(ids, "<u4")
+            starts = (np.flatnonzero(self.spaced[np.minimum(numbers, len(self.spaced) - 1)]) * ID_BYTES).tolist()
+            if len(starts) == len(group):
+                out.extend(ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True))
+            else:
+                out.extend(self.encoded(group))
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [CHUNK.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
@@ -65,10 +88,13 @@ class WordTokenizer:
         new = set().union(*chunks).difference(known)
         # A stop or comma right after a letter at the end of a chunk is always encoded by itself.
         ended = [c for c in new if c[-1] in ".," and len(c) > 1 and c[-2].isalpha()]
-        plain = list((new.difference(ended) | {c[:-1] for c in ended} | {".", ","}).difference(known))
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
-            known.update(zip(part, self.encoded(part), strict=True))
+        plain = (new.difference(ended) | {c[:-1] for c in ended} | {".", ","}).difference(known)
+        together = [c for c in plain if SPACED.fullmatch(c)] if self.spaced.any() else []
+        alone = list(plain.difference(together))
+        for part, encode in ((alone, self.encoded), (together, self.encoded_together)):
+            for at in range(0, len(part), 10_000):
+                some = part[at : at + 10_000]
+                known.update(zip(some, encode(some), strict=True))
         for c in ended:
             known[c] = known[c[:-1]] + known[c[-1]]
         return [b"".join(map(known.__getitem__, doc)) for doc in chunks]
