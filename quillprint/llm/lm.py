@@ -33,7 +33,7 @@ ADDED = 0.1
 #: Weights of the failure arcs of states of one word and of two.
 FAILURE = (1000.0, 3.0)
 BLOCK_CHARS = 8_000_000
-#: Tasks that blocks are dealt to, at most; a task takes its blocks one after the other.
+#: Tasks that blocks, or parts of the key space, are dealt to, at most; a task takes them one after the other.
 BLOCK_TASKS = 20_000
 #: Bits of a key beyond those that number the corpus: a stranger is met once in 2^24 searches.
 SPARE_BITS = 24
@@ -217,7 +217,8 @@ def score_documents(
             [texts.column("id"), pa.array(own.lengths), *map(pa.array, sums)], names=["id", "n_tokens", "n_known", "base_score", "score"]
         )
 
-    answers = dealt.groupBy("block").applyInArrow(ask, REQUEST).groupBy("part").applyInArrow(answer, ANSWER)
+    asked = dealt.groupBy("block").applyInArrow(ask, REQUEST).repartition(min(2 * n_blocks, BLOCK_TASKS), "part")
+    answers = asked.groupBy("part").applyInArrow(answer, ANSWER)
     schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, n_known long, base_score double, score double"
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverse, schema)
     return scored.select(
