@@ -29,11 +29,11 @@ def hashed_counts(
 
 
 def hashed_vectors(
-    df: DataFrame, buckets: int = DEFAULT_BUCKETS, code_col: str = "code"
+    df: DataFrame, buckets: int = DEFAULT_BUCKETS, code_col: str = "code", counts: str | None = None
 ) -> DataFrame:
-    """``df`` with ``text_vector``: bucket counts at unit Euclidean length."""
-    counted = hashed_counts(word_ngrams(df, code_col), buckets, "_counts")
-    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="text_vector")
+    """``df`` with ``text_vector``: bucket counts at unit Euclidean length; with the counts too, if named."""
+    counted = hashed_counts(word_ngrams(df, code_col), buckets, counts or "_counts")
+    unit = Normalizer(p=2.0, inputCol=counts or "_counts", outputCol="text_vector")
     return unit.transform(counted).drop("_counts", "ngrams")
 
 

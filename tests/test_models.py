@@ -232,3 +232,17 @@ def test_loss_history_beside_the_estimator(spark, labelled):
     half = assemble.transform(dev.withColumn("split", F.lit("x")).withColumn("label", F.when(F.col("id") % 3 > 0, F.col("label"))))
     assert trees.loss_history(half, model).count() == 12
     assert trees.loss_history(half.limit(0), model).count() == 0
+
+
+def test_one_pass_of_ngrams_gives_vectors_and_counts(spark, monkeypatch, sf_dir):
+    """The query cuts the n-grams of a text once, for the counts and for the unit vector."""
+    from registered.queries import QUERIES
+
+    cuts, cut = [], vectors.word_ngrams
+    monkeypatch.setattr(vectors, "word_ngrams", lambda *args, **options: cuts.append(1) or cut(*args, **options))
+    QUERIES["hashed_vectors"](spark, sf_dir)
+    assert len(cuts) == 1
+    df = spark.createDataFrame([(1, "ab cd\nab")], "id long, code string")
+    row = vectors.hashed_vectors(df, 1 << 10, counts="n").first()
+    assert sum(row["n"].values) == 6 and row["text_vector"].norm(2) == pytest.approx(1.0)
+    assert set(row.asDict()) == {"id", "code", "n", "text_vector"}
