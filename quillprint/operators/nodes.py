@@ -95,7 +95,8 @@ def node_depths(nodes: DataFrame, key: str = "id") -> DataFrame:
     Nodes on a circle of parents, and those below one, have no depth, and neither
     have rows without key or node id. Of repeated rows of a node the smallest
     parent counts, a null one last; all of them get its depth. An existing
-    ``depth`` is replaced.
+    ``depth`` is replaced. Both sides of every join are node tables, small on
+    disk and large in memory: they are merged, never sent whole to the driver.
     """
     rows = nodes.drop("depth")
     known = rows.where(F.col(key).isNotNull() & F.col("node_id").isNotNull())
@@ -103,7 +104,7 @@ def node_depths(nodes: DataFrame, key: str = "id") -> DataFrame:
     there = single.select(F.col(key).alias("_key"), F.col("node_id").alias("_node"))
     parent = (F.col(key) == F.col("_key")) & (F.col("up") == F.col("_node"))
     # A parent that is not there counts like none.
-    state = single.join(there, parent, "left").select(key, "node_id", F.col("_node").alias("up"), F.lit(1).alias("steps"))
+    state = single.join(there.hint("merge"), parent, "left").select(key, "node_id", F.col("_node").alias("up"), F.lit(1).alias("steps"))
     state = written(state, "ancestors")
     most = single.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
@@ -111,7 +112,7 @@ def node_depths(nodes: DataFrame, key: str = "id") -> DataFrame:
         further = state.select(
             F.col(key).alias("_key"), F.col("node_id").alias("_node"), F.col("up").alias("_up"), F.col("steps").alias("_steps")
         )
-        met = state.join(further, parent, "left")
+        met = state.join(further.hint("merge"), parent, "left")
         steps = F.col("steps") + F.coalesce("_steps", F.lit(0))
         state = written(met.select(key, "node_id", F.col("_up").alias("up"), steps.alias("steps")), "ancestors")
         reach *= 2
@@ -119,4 +120,4 @@ def node_depths(nodes: DataFrame, key: str = "id") -> DataFrame:
     depth = F.when(F.col("up").isNull(), F.col("steps")).cast("int")
     found = state.select(F.col(key).alias("_key"), F.col("node_id").alias("_node"), depth.alias("depth"))
     same = (F.col(key) == F.col("_key")) & (F.col("node_id") == F.col("_node"))
-    return rows.join(found, same, "left").select(*rows.columns, "depth")
+    return rows.join(found.hint("merge"), same, "left").select(*rows.columns, "depth")

@@ -313,3 +313,20 @@ def test_repeated_statements_are_parsed_once(monkeypatch):
     parsed.clear()
     trees = pa.concat_arrays(list(syntax._parse_batches(iter([codes])))).to_pylist()
     assert sum(parsed) < size / 100 and all(len(t["types"]) > 500 * 12 for t in trees)
+
+
+def test_depths_send_no_node_table_to_the_driver(spark, monkeypatch):
+    """However small a node table is on disk, no join copies it whole."""
+    plans, write = [], nodes.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(nodes, "written", seen)
+    rows = [(1, i, i - 1 if i else None) for i in range(9)] + [(2, 5, 5), (3, 1, 7)]
+    deep = nodes.node_depths(spark.createDataFrame(rows, "id long, node_id long, parent_id long"))
+    plans.append(deep._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
+    got = {(r["id"], r["node_id"]): r["depth"] for r in deep.collect()}
+    assert [got[1, i] for i in range(9)] == list(range(1, 10)) and got[2, 5] is None and got[3, 1] == 1
