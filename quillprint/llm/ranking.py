@@ -9,7 +9,9 @@ intercept over the pairs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil, floor
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -18,9 +20,8 @@ from pyspark.sql import functions as F
 
 from quillprint.llm.rules import windows_of, without, word_hashes
 from quillprint.llm.support import bound, settled_labels, spaced, spare, text_of, with_settled, written
+from quillprint.operators.prefix import RANGE_ROWS, running_sums
 
-#: About so many labelled rows are used for a fit, whatever the number of labels.
-MAX_LABELLED = 20_000
 SLOTS_PER_ROW = 4
 CUT = 0.7
 PUNCTUATION = {"symbols": "#*$%&|<>", "shouts": "!?", "stops": ".,", "digits": "0123456789"}
@@ -89,23 +90,19 @@ def fit_ranking(
     key: str = "doc_id",
     label: str = "quality",
     text: str = "text",
-    max_labelled: int = MAX_LABELLED,
     regularization: float = 1e-3,
 ) -> Ranking:
     """Learn from the rows of ``labels`` (``key``, ``label`` 0 or 1; nulls are skipped).
 
     Of several labels of a key the more frequent counts, and none if they are tied.
-    About ``max_labelled`` labels, chosen by a hash of the key, are looked up in
-    ``docs``; that bound is what lets them be broadcast. The threshold is the
+    All of them are looked up in ``docs`` and used, for the moments, the pairs
+    and the threshold, by a join as the optimizer decides. The threshold is the
     quantile of the strengths that leaves the share of poor labels below it. If
     one of the two labels is missing there is nothing to prefer: all weights are
     zero and every document gets the cut itself.
     """
     known = settled_labels(labels, key, label)
-    n = known.count()
-    share = F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_labelled / max(n, 1)))
-    chosen = F.broadcast(known.where(share))
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key")
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(known, "_key")
     measured, name = features(found, "_text")
     rows = written(measured.select(F.col("_key").alias("id"), "good", F.col(name).alias("raw")), "labelled")
     width = rows.select(F.max(F.size("raw"))).first()[0]
@@ -126,8 +123,8 @@ def fit_ranking(
         written(pairs, "pairs")
     )
     weights = [float(w) for w in model.coefficients]
-    strengths = ready.select("good", strength(F.col("x"), weights).alias("s"))
-    cut, low, high = strengths.select(F.percentile("s", F.array(F.lit(moments["poor"]), F.lit(0.25), F.lit(0.75)))).first()[0]
+    strengths = written(ready.select("good", strength(F.col("x"), weights).alias("s")), "strengths")
+    cut, low, high = quantiles(strengths, "s", moments["n"], [moments["poor"], 0.25, 0.75])
     edge = strengths.agg(
         F.max(F.when(~F.col("good") & (F.col("s") <= cut), F.col("s"))).alias("below"),
         F.min(F.when(F.col("good") & (F.col("s") >= cut), F.col("s"))).alias("above"),
@@ -137,6 +134,18 @@ def fit_ranking(
     return Ranking(mean, scale, weights, middle, max(high - low, 1e-6))
 
 
+def quantiles(rows: DataFrame, value: str, n: int, shares: Sequence[float]) -> list[float]:
+    """Exact quantiles of the ``n`` values, those between two values in proportion; no task holds all of them."""
+    places = [share * (n - 1) for share in shares]
+    wanted = {int(edge(p)) for p in places for edge in (floor, ceil)}
+    ones = rows.select(value, F.lit(1).alias("_q_one"))
+    placed = running_sums(ones, [], [value], ["_q_one"], ranges=ceil(n / RANGE_ROWS))
+    found = placed.where(F.col("_q_one_before").isin(*wanted)).select("_q_one_before", value).collect()
+    at = {place: v for place, v in found}
+    sides = [(p, at[floor(p)], at[ceil(p)]) for p in places]
+    return [low if low == high else (ceil(p) - p) * low + (p - floor(p)) * high for p, low, high in sides]
+
+
 def doubles(values: list[float]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
