@@ -1,9 +1,12 @@
 """Models learn from all labels, however many there are."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillprint.llm import ranking
+from quillprint.llm.support import written
 
 
 def test_ranking_uses_every_label(spark):
@@ -28,3 +31,24 @@ def test_quantiles_are_exact(spark):
     want = rows.select(F.percentile("s", F.array(*map(F.lit, shares)))).first()[0]
     assert ranking.quantiles(rows, "s", len(values), shares) == pytest.approx(want, rel=1e-12)
     assert ranking.quantiles(rows.limit(1), "s", 1, [0.5]) == [rows.limit(1).first()[0]]
+
+
+def test_ranking_shuffles_no_text(spark, monkeypatch):
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 5).alias("text"))
+    docs = written(docs, "docs")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    plans = {}
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return written(df, name)
+
+    monkeypatch.setattr(ranking, "written", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ranking.fit_ranking(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shuffled = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]", plans["labelled"])
+    assert shuffled and not any("_text" in columns for columns in shuffled)
