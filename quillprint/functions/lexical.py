@@ -39,8 +39,9 @@ def newline_line_count(c: Column) -> Column:
 
 
 def comment_line_count(c: Column) -> Column:
-    """Lines whose first visible characters are ``#``, ``//``, ``/*`` or ``*``."""
-    return F.regexp_count(F.concat(F.lit("\n"), c), F.lit(_COMMENT_LINE))
+    """Lines whose first visible characters are ``#``, ``//``, ``/*`` or ``*``; a text without such marks is not searched."""
+    marked = F.contains(c, F.lit("#")) | F.contains(c, F.lit("/")) | F.contains(c, F.lit("*"))
+    return F.when(marked, F.regexp_count(F.concat(F.lit("\n"), c), F.lit(_COMMENT_LINE))).otherwise(0)
 
 
 def blank_line_count(c: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillprint.functions import lexical
 from quillprint.functions.text import normalize_language, text_or_empty
 from quillprint.operators.columns import int_label
-from quillprint.operators.syntax import COUNTED, DEFINING, FAILED, PARSED, syntax_outline
+from quillprint.operators.syntax import DEFINING, FAILED, PARSED, letter_of, syntax_outline
 
 STRUCTURAL_COLUMNS = [
     "avg_identifier_len",
@@ -95,11 +95,8 @@ def lexical_features(df: DataFrame, code_col: str = "code") -> DataFrame:
 
 
 def _occurrences(types: Column, wanted: Sequence[str]) -> Column:
-    """How many of the numbered ``types`` are among ``wanted``."""
-    rest = types
-    for name in wanted:
-        rest = F.array_remove(rest, F.lit(COUNTED.index(name)).cast("tinyint"))
-    return F.size(types) - F.size(rest)
+    """How many of the letters ``types`` stand for ``wanted``."""
+    return lexical.count_chars(types, "".join(letter_of(name) for name in wanted))
 
 
 def _tree_counts(types: Column, depth: Column, names: Column) -> dict[str, Column]:

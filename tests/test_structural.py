@@ -1,6 +1,8 @@
 """Golden snippets, routes and edge inputs of the structural row."""
 
 import ast
+import random
+import warnings
 
 import pyarrow as pa
 import pytest
@@ -330,3 +332,43 @@ def test_depths_send_no_node_table_to_the_driver(spark, monkeypatch):
     assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
     got = {(r["id"], r["node_id"]): r["depth"] for r in deep.collect()}
     assert [got[1, i] for i in range(9)] == list(range(1, 10)) and got[2, 5] is None and got[3, 1] == 1
+
+
+def test_pieces_that_differ_in_identifiers_are_parsed_once():
+    outlines, seen = syntax._Outlines(), []
+    read = outlines.memory.read
+    outlines.memory.read = lambda tree: seen.append(tree) or read(tree)
+    codes = ["".join(f"if v{i}_{k}: v{i}_{k} = g(1)\n" for k in range(20)) for i in range(50)]
+    for code in codes:
+        outlines.read(code)
+    assert len(seen) == 1
+    assert outlines.columns[2] == [read(ast.parse(code))[0] for code in codes]
+
+
+def test_tallies_are_the_nodes_grouped(spark):
+    codes = ["x = 1\nif a: b = c(1)\nif d: e = f(1)\n", "class A:\n    def m(self):\n        pass\n", "def f(:\n", "", None, "x = 1\n" * 40]
+    df = spark.createDataFrame(list(enumerate(codes)), "id long, code string")
+    want = syntax_nodes(df).groupBy("id", "node_type", "depth").agg(F.count(F.lit(1)).alias("n"))
+    got = syntax.syntax_tallies(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shapes_keep_trees_and_failures():
+    tokens = ["a1", "_", "if", "else", "print", "in", "is", "not", "lambda", "None", "await", "type", "match", "case", "def", "import", "as", "except"]
+    tokens += ["1", "1.", "1.e5", ".5e3", "0x1f", "1if", "1j", "0or", "b'x'", "f'{a1}'", "'q'", "#c", "é", "=", ":", ":=", "(", ")", "[", "]", "{", "}"]
+    tokens += [",", ".", "...", "*", "**", "+", "-", "->", ";", "\\", "\t", "\n    ", "\x0c", "e5", "b", "rb", "x_1", "global", "del", "return"]
+    dealt = random.Random(5)
+    parsed = 0
+    for _ in range(30_000):
+        piece = "".join(dealt.choice(tokens) + dealt.choice(["", " "]) for _ in range(dealt.randint(1, 6)))
+        found = []
+        for code in (piece, syntax._shape(piece)):
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                try:
+                    found.append((syntax._preorder(ast.parse(code + "\n")), syntax._Outlines().outline(ast.parse(code + "\n"))))
+                except Exception as failure:  # noqa: BLE001
+                    found.append(type(failure).__mro__[-3])
+        assert found[0] == found[1], piece
+        parsed += isinstance(found[0], tuple)
+    assert parsed > 1_000
