@@ -72,9 +72,9 @@ def call_count(c: Column) -> Column:
     """Opening parentheses that follow a word, spaces allowed between.
 
     One word character before the parenthesis decides, which spares the
-    engine from rescanning long words.
+    engine from rescanning long words. A text without parentheses is not searched.
     """
-    return F.regexp_count(c, F.lit(rf"[{WORD}][{WHITESPACE}]*+\("))
+    return F.when(F.contains(c, F.lit("(")), F.regexp_count(c, F.lit(rf"[{WORD}][{WHITESPACE}]*+\("))).otherwise(0)
 
 
 def identifiers(c: Column) -> Column:

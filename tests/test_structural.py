@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillprint.functions import lexical
 from quillprint.operators import nodes, structural, syntax
 from quillprint.operators.lengths import LENGTH_COLUMNS, length_features
 from quillprint.operators.nodes import node_profile, python_node_profile
@@ -372,3 +373,14 @@ def test_shapes_keep_trees_and_failures():
         assert found[0] == found[1], piece
         parsed += isinstance(found[0], tuple)
     assert parsed > 1_000
+
+
+def test_marks_are_searched_only_where_they_are(spark):
+    codes = ["", "f (x) g\t(y) (z)", "no marks", "# a\n // b\n x # c", "a\n * b", "é(1)", "(", "word"]
+    df = spark.createDataFrame(list(enumerate(codes)), "id long, code string").coalesce(1)
+    c = F.col("code")
+    got = df.orderBy("id").select(lexical.call_count(c), lexical.comment_line_count(c)).collect()
+    assert [tuple(r) for r in got] == [(0, 0), (2, 0), (0, 0), (0, 2), (0, 1), (1, 0), (0, 0), (0, 0)]
+    for count, mark in ((lexical.call_count, "("), (lexical.comment_line_count, "#")):
+        plan = df.select(count(c))._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN" in plan and "Contains(code" in plan and mark in plan
