@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillprint.llm import jaccard, packing, pii, ranking, rules
 from quillprint.llm.support import fold_of, table, written
+from quillprint.session import fresh_path, scratch_space
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Whole groups as signatures: at 0.8 they meet fewer unlinked sets than subsets of parts (figures in the README).
@@ -35,6 +36,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("quality_score") >= ranking.CUT).select(*COLUMNS)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` returns, written; the tables it was made from are removed, since later stages need their space."""
+    path = fresh_path(spark, name)
+    with scratch_space(spark):
+        made = build()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, null ids last.
 
@@ -43,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     but such repetitions of themselves.
     """
     marked = docs.select(F.xxhash64("doc_id", "text").alias("_row"), *COLUMNS)
-    groups = written(jaccard.similar_documents(marked, NEAR, key="_row").select("_row", "component_id"), "groups")
+    groups = settled(spark, "groups", lambda: jaccard.similar_documents(marked, NEAR, key="_row").select("_row", "component_id"))
     ids = marked.select("_row", "doc_id").join(groups.distinct(), "_row")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept"))
     first = written(first, "first")
