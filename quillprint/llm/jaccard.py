@@ -7,6 +7,10 @@ they may differ in. The shingles are hashed into groups and each group into a
 few parts, so many that some group of two linked sets differs in fewer parts
 than it may lose: one of its subsets of parts has the same contents in both
 sets. The hash of each such subset is a signature, so linked sets share one.
+There are more groups than needed for that, so linked sets share several: of the
+signatures that a set has in a band, it leaves out as many as linked sets share
+beyond one, those that most sets have (passages that many unlike texts quote).
+All order signatures alike, so the rarest that two linked sets share stays in both.
 
 Copies of one set are compared as one. Candidates are checked exactly if their
 sizes and sketches allow a link. Within a signature every set is first compared
@@ -25,7 +29,7 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillprint.llm.components import connected
@@ -34,6 +38,8 @@ from quillprint.llm.support import small_or_shuffled, text_of, written
 PIVOT_ROUNDS = 2
 BROADCAST_IDS = 200_000
 SKETCH = ("s0", "s1", "s2", "s3")
+#: Signatures that a set leaves out, in bands of even and of odd numbers.
+BEYOND = ("even", "odd")
 
 # Odd multipliers of the hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -134,22 +140,44 @@ def bands(rule: Rule) -> list[Band]:
     return out
 
 
-def signatures(shingles: np.ndarray, rule: Rule) -> np.ndarray:
-    size = len(shingles)
-    if not size:
-        return shingles
+def used_bands(size: int, rule: Rule) -> list[Band]:
+    """The band of a set's size, and the next if linked sets may lie there."""
     all_bands = bands(rule)
     own = next(b for b in all_bands if size <= b.last)
-    used = [own]
-    if size * 100 // rule.percent > own.last:
-        used.append(all_bands[own.number + 1])
+    return [own, all_bands[own.number + 1]] if size * 100 // rule.percent > own.last else [own]
+
+
+def placed(shingles: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+    """The part that each shingle lies in, and which parts of each group are filled."""
+    place = (shingles % np.uint64(band.groups * band.parts)).astype(np.int64)
+    return place, np.bincount(place, minlength=band.groups * band.parts).reshape(band.groups, band.parts) > 0
+
+
+def beyond_one(shingles: np.ndarray, rule: Rule) -> list[int]:
+    """By the parity of the band's number: how many signatures beyond one any linked set shares with this set, at least.
+
+    A group disagrees only if more shingles than its errors differ in it; an agreement on nothing has no signature.
+    """
+    size, out = len(shingles), [0, 0]
+    for band in used_bands(size, rule) if size else []:
+        largest = min(band.last, size * 100 // rule.percent)
+        differing = (size + largest) * (100 - rule.percent) // (100 + rule.percent)
+        _, filled = placed(shingles, band)
+        empty = int((filled.sum(axis=1) <= band.errors).sum())
+        out[band.number % 2] = max(0, band.groups - differing // (band.errors + 1) - empty - 1)
+    return out
+
+
+def signatures(shingles: np.ndarray, rule: Rule) -> np.ndarray:
+    """Sorted distinct hashes, whose lowest bit is that of the band's number."""
+    if not len(shingles):
+        return shingles
     content = mix(shingles + TAG_C)
     out = []
-    for band in used:
-        place = (shingles % np.uint64(band.groups * band.parts)).astype(np.int64)
+    for band in used_bands(len(shingles), rule):
+        place, filled = placed(shingles, band)
         sums = np.zeros(band.groups * band.parts, np.uint64)
         np.add.at(sums, place, content)
-        filled = np.bincount(place, minlength=len(sums)).reshape(band.groups, band.parts) > 0
         sums = sums.reshape(band.groups, band.parts)
         groups = np.arange(band.groups, dtype=np.uint64)
         found, empty = [], np.zeros(band.groups, bool)
@@ -157,6 +185,7 @@ def signatures(shingles: np.ndarray, rule: Rule) -> np.ndarray:
             cols = list(chosen)
             tag = np.uint64((band.number * 1000 + n + 1) * int(TAG_A) & 0xFFFFFFFFFFFFFFFF)
             sig = mix(sums[:, cols].sum(axis=1, dtype=np.uint64) + groups * TAG_B + tag)
+            sig = (sig & ~np.uint64(1)) | np.uint64(band.number % 2)
             none = ~filled[:, cols].any(axis=1)
             empty |= none
             found.append((sig, none))
@@ -179,8 +208,8 @@ def fine_words(size: int) -> int:
 
 
 def set_traits(docs: DataFrame, rule: Rule) -> DataFrame:
-    """For each row of ``docs (doc, text)``: set size, a 128-bit key of the contents, a short and a fine sketch."""
-    names = ("n_shingles", "high", "low", *SKETCH)
+    """For each row of ``docs (doc, text)``: set size, a 128-bit key of the contents, signatures to leave out, a short and a fine sketch."""
+    names = ("n_shingles", "high", "low", *BEYOND, *SKETCH)
     schema = "doc long, " + ", ".join(f"{n} long" for n in names) + ", fine array<long>"
 
     def traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +221,8 @@ def set_traits(docs: DataFrame, rule: Rule) -> DataFrame:
                 found = shingle_set(t, rule.words)
                 row[0] = len(found)
                 row[1:3] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                row[3:] = sketch(found)
+                row[3:5] = beyond_one(found, rule)
+                row[5:] = sketch(found)
                 fine.append(sketch(found, fine_words(len(found))))
             columns = [pa.array(np.ascontiguousarray(c)) for c in rows.T]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(fine, pa.list_(pa.int64()))], names=["doc", *names, "fine"])
@@ -261,7 +291,19 @@ def may_link(rule: Rule) -> Column:
     return fits & (differing * (100 + rule.percent) <= (n + m) * (100 - rule.percent))
 
 
-def first_pairs(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rarest(rows: DataFrame, traits: DataFrame) -> DataFrame:
+    """``rows (sig, doc, n)`` without those of each document's signatures that it may leave out: the most frequent ones, ``n`` sets having them.
+
+    Of a document of several sets, as many are left out as the set with the fewest allows.
+    """
+    allowed = traits.groupBy("doc").agg(*[F.min(c).alias(c) for c in BEYOND])
+    odd = F.pmod("sig", F.lit(2)) == 1
+    place = F.row_number().over(Window.partitionBy("doc", "odd").orderBy(F.desc("n"), F.desc("sig")))
+    ranked = rows.join(allowed, "doc").select("sig", "doc", "n", odd.alias("odd"), F.when(odd, F.col("odd")).otherwise(F.col("even")).alias("beyond"))
+    return ranked.withColumn("place", place).where("place > beyond").select("sig", "doc", "n")
+
+
+def first_pairs(signed: DataFrame, traits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(sig, doc)`` of the signatures that several sets share, and pairs ``(a, b)`` of each such set with a pivot.
 
     A set's degree is the number of its meetings: the sizes of all its
@@ -274,6 +316,7 @@ def first_pairs(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = signed.repartition("sig")
     shared = dealt.groupBy("sig").agg(F.count("doc").alias("n")).where("n > 1")
     rows = written(dealt.join(shared, "sig").select("sig", "doc", "n"), "bucketed")
+    rows = written(rarest(rows, traits), "rarest")
     degree = written(rows.groupBy("doc").agg(F.sum("n").alias("degree")), "degrees")
     ranked = rows.select("sig", "doc").join(degree, "doc")
     pivots = written(ranked.groupBy("sig").agg(F.max(F.struct("degree", "doc"))["doc"].alias("pivot")), "pivots")
@@ -300,7 +343,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: R
 
     ``signed (sig, doc)`` holds their signatures, ``traits`` their sizes and sketches.
     """
-    rows, pairs = first_pairs(signed)
+    rows, pairs = first_pairs(signed, traits)
     seen = checked = held = None
     for turn in range(1, PIVOT_ROUNDS + 1):
         pairs = written(pairs, "pairs")
@@ -321,7 +364,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: R
             break
         unsettled = written(placed.join(open_sigs, "sig"), "unsettled")
         if last:
-            wanted = traits.drop("fine").join(unsettled.select("doc").distinct(), "doc", "left_semi").dropDuplicates()
+            wanted = traits.drop("fine", *BEYOND).join(unsettled.select("doc").distinct(), "doc", "left_semi").dropDuplicates()
             each = written(unsettled.select("sig", "doc", "component").join(wanted, "doc"), "unsettled")
             # Pairs within the largest component of a signature need no look: one side is what lies outside it.
             sizes = each.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -360,7 +403,7 @@ def similar_documents(docs: DataFrame, rule: Rule | None = None, key: str = "doc
     copies = written(keys.join(first, ["high", "low"]).where("doc != first").select("doc", "high", "low", "first").distinct(), "copies")
     repeated = small_or_shuffled(copies.drop("first"), BROADCAST_IDS)
     alone = worded.join(repeated, ["doc", "high", "low"], "left_anti")
-    traits = written(alone.select("doc", "n_shingles", "fine", *SKETCH).distinct(), "traits")
+    traits = written(alone.select("doc", "n_shingles", "fine", *BEYOND, *SKETCH).distinct(), "traits")
     # A document that has a set of its own besides is signed.
     dropped = written(copies.select("doc").distinct().join(traits.select("doc"), "doc", "left_anti"), "dropped")
     single = rows.where("doc IS NOT NULL").join(small_or_shuffled(dropped, BROADCAST_IDS), "doc", "left_anti")
