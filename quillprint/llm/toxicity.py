@@ -7,6 +7,11 @@ so what neither class has seen counts for nothing. A word is compared by its
 log-likelihoods divided by its length, a document by its mean word and by its
 most toxic words; a logistic curve, fitted on labelled documents that the
 models have not seen, makes the comparison a score.
+
+The models are tables, learnt from all labelled documents, and are never whole
+in one place. Documents are dealt into blocks of bounded size; a block asks for
+each distinct word of its texts once, joins with the tables compare the distinct
+words of all blocks, and the block makes its texts' features of the answers.
 """
 
 from __future__ import annotations
@@ -16,26 +21,29 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from quillprint.llm.support import settled_labels, spare, text_of, with_settled, words_of, written
+from quillprint.llm.support import settled_labels, small_or_shuffled, spare, text_of, with_settled, words_of, written
 
 ORDER = 5
 DISCOUNT = 0.75
-#: About so many labelled documents of each class are learnt from, whatever the number of labels.
-MAX_LABELLED = 4_000
-#: More grams than these do not come to the driver: the order is lowered until they are fewer.
-MAX_GRAMS = 2_000_000
 #: One labelled document in so many fits the logistic curve and not the models.
 CURVE_FOLDS = 4
-#: Distinct words, and grams, whose comparison a Python worker remembers before it starts afresh.
+#: Labels that are sent to every task instead of being shuffled with the texts.
+BROADCAST_IDS = 200_000
+#: Distinct words that a Python worker remembers to have sent before it starts afresh.
 REMEMBERED = 400_000
+BLOCK_CHARS = 8_000_000
+#: Tasks that blocks are dealt to, at most; a task takes its blocks one after the other.
+BLOCK_TASKS = 20_000
 EDGE = "\n"
 # Marks that do not belong to a word at whose edge they stand.
 MARKS = ".,;:!?\"'()|#$%&*<>"
@@ -49,18 +57,29 @@ WIDTH = TOP_WORDS + 2
 class Model:
     """Counts of characters after contexts: of each class for the longest, of both together for the shorter."""
 
-    longest: tuple[dict[str, int], dict[str, int]]  # ordinary, toxic: context + character
-    shared: dict[str, int]  # numbers of different characters before a shorter context + character
     order: int
+    grams: DataFrame | None = None  # gram, ordinary, toxic: context + character
+    shorter: DataFrame | None = None  # gram, n: numbers of different characters before a shorter context + character
     weights: tuple[float, ...] = ()
     intercept: float = 0.0
 
+    @cached_property
+    def longest(self) -> tuple[dict[str, int], dict[str, int]]:
+        """The counts of the ordinary and the toxic class, brought to the driver: for a look at small models."""
+        rows = self.grams.collect()
+        return tuple({r["gram"]: r[c] for r in rows if r[c]} for c in ("ordinary", "toxic"))
+
+    @cached_property
+    def shared(self) -> dict[str, int]:
+        """The shorter counts, brought to the driver: for a look at small models."""
+        return {r["gram"]: r["n"] for r in self.shorter.collect()}
+
 
 class Comparison:
-    """Length-normalised difference of a word's two log-likelihoods."""
+    """Length-normalised difference of a word's two log-likelihoods, by a small model's counts; what ``word_scores`` does by joins."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known, self.steps = model, {}, {}
+        self.model = model
         self.totals = [self.sums(c) for c in model.longest]
         self.shared = self.sums(model.shared)
         self.characters = len({g[-1] for g in model.shared}) + 1
@@ -98,67 +117,136 @@ class Comparison:
         return logs[1] - logs[0]
 
     def word(self, word: str) -> float:
-        """The mean step; words share most of their grams, so steps are remembered too."""
-        marked, order, steps = EDGE + word + EDGE, self.model.order, self.steps
-        total = 0.0
-        for end in range(2, len(marked) + 1):
-            gram = marked[max(0, end - order) : end]
-            if gram not in steps:
-                steps[gram] = self.step(gram)
-            total += steps[gram]
-        return total / (len(marked) - 1)
-
-    def features(self, text: str) -> list[float]:
-        """The mean word, then the most toxic different words; zeros stand for words that are not there."""
-        words = Counter(WORDS.findall(text.lower()))
-        for remembered in (self.known, self.steps):
-            if len(remembered) > REMEMBERED:
-                remembered.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = self.word(w.strip(MARKS))
-        if not words:
-            return [0.0] * WIDTH
-        mean = sum(known[w] * n for w, n in words.items()) / words.total()
-        top = heapq.nlargest(TOP_WORDS, (known[w] for w in words))
-        return [mean, *top, *[0.0] * (TOP_WORDS - len(top)), math.log1p(words.total())]
+        """The mean step."""
+        marked, order = EDGE + word + EDGE, self.model.order
+        return sum(self.step(marked[max(0, end - order) : end]) for end in range(2, len(marked) + 1)) / (len(marked) - 1)
 
 
-def with_features(docs: DataFrame, model: Model, text: str, into: str) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def compare(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        comparison = Comparison(model)
-        for series in texts:
-            yield pd.Series([comparison.features(t) for t in series], dtype=object)
+def features(text: str, known: dict[str, float]) -> list[float]:
+    """The mean word, then the most toxic different words; zeros stand for words that are not there."""
+    words = Counter(WORDS.findall(text.lower()))
+    if not words:
+        return [0.0] * WIDTH
+    scores = {w: known[w.strip(MARKS)] for w in words}
+    mean = sum(scores[w] * n for w, n in words.items()) / words.total()
+    top = heapq.nlargest(TOP_WORDS, scores.values())
+    return [mean, *top, *[0.0] * (TOP_WORDS - len(top)), math.log1p(words.total())]
 
-    return docs.withColumn(into, compare(text_of(text)))
 
-
-def gram_counts(words: DataFrame, order: int) -> DataFrame:
-    """``(size, gram, ordinary, toxic)`` of ``words (word, ordinary, toxic)``: contexts with the character after them."""
+def grams_of(words: DataFrame, order: int) -> DataFrame:
+    """``words (word, ...)`` with ``end`` and ``gram``, a row for each character after the first edge: its context and itself."""
     marks = "[" + re.escape(MARKS) + "]+"
-    word = F.concat(F.lit(EDGE), F.regexp_replace("word", f"^{marks}|{marks}$", ""), F.lit(EDGE))
-    marked = words.select(word.alias("word"), "ordinary", "toxic")
-    ends = F.sequence(F.lit(2), F.length("word"))
+    marked = F.concat(F.lit(EDGE), F.regexp_replace("word", f"^{marks}|{marks}$", ""), F.lit(EDGE))
     size = F.least(F.lit(order), F.col("end"))
-    grams = marked.select("word", "ordinary", "toxic", F.explode(ends).alias("end"))
-    grams = grams.select("ordinary", "toxic", F.substring("word", F.col("end") - size + 1, size).alias("gram"))
-    return grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    ends = words.withColumn("_marked", marked).withColumn("end", F.explode(F.sequence(F.lit(2), F.length("_marked"))))
+    return ends.withColumn("gram", F.substring("_marked", F.col("end") - size + 1, size)).drop("_marked")
+
+
+def gram_counts(words: DataFrame, order: int) -> DataFrame:
+    """``(gram, ordinary, toxic)`` of ``words (word, ordinary, toxic)``: contexts with the character after them."""
+    return grams_of(words, order).groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def without_first(gram: str) -> Column:
+    return F.expr(f"substring({gram}, 2)")
+
+
+def context_of(gram: str) -> Column:
+    return F.expr(f"left({gram}, length({gram}) - 1)")
+
+
+def continuation_counts(grams: DataFrame, order: int) -> DataFrame:
+    """``(gram, n)``: for every shorter gram, how many different longer ones of ``grams (gram)`` end in it, down to single characters."""
+    layer, layers = grams.select("gram"), []
+    for _ in range(max(1, order - 1)):
+        shorter = layer.where(F.length("gram") > 1).groupBy(without_first("gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        layers.append(written(shorter, "shorter"))
+        layer = layers[-1].select("gram")
+    out = layers[0]
+    for other in layers[1:]:
+        out = out.unionByName(other)
+    return out.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def word_scores(words: DataFrame, model: Model) -> DataFrame:
+    """``(word, score)`` of the distinct ``words (word)``: the mean, over a word's characters, of the logarithm of toxic to ordinary probability."""
+    spelt = written(grams_of(words, model.order), "spelt")
+    # Contexts that neither class has seen make no difference.
+    classes = [[F.sum(c).alias(f"{c}_sum"), F.count_if(F.col(c) > 0).alias(f"{c}_types")] for c in ("ordinary", "toxic")]
+    totals = model.grams.groupBy(context_of("gram").alias("context")).agg(*classes[0], *classes[1])
+    asked = spelt.select("gram").distinct().withColumn("context", context_of("gram")).join(totals, "context")
+    asked = written(asked.join(model.grams, "gram", "left"), "asked")
+    # The shared probability is built up from the shortest suffix; a context that was never seen passes its shorter one on.
+    ends = asked.select("gram", F.explode(F.expr("sequence(1, length(gram) - 1)")).alias("k")).withColumn("suffix", F.expr("right(gram, k)"))
+    sums = model.shorter.groupBy(context_of("gram").alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+    counts = model.shorter.withColumnRenamed("gram", "suffix")
+    suffixes = ends.select("suffix").distinct().withColumn("context", context_of("suffix"))
+    suffixes = suffixes.join(sums, "context").join(counts, "suffix", "left").select("suffix", "n", "total", "types")
+    found = ends.join(suffixes, "suffix").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "n", "total", "types"))).alias("lower"))
+    characters = model.shorter.select(F.expr("right(gram, 1)").alias("ch")).distinct().count() + 1
+
+    def backed(n: Column, total: Column, types: Column, p: Column) -> Column:
+        return (F.greatest(F.coalesce(n, F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * types * p) / total
+
+    shared = F.aggregate(F.coalesce("lower", F.array()), F.lit(1 / characters), lambda p, x: backed(x["n"], x["total"], x["types"], p))
+    both = asked.join(found, "gram", "left").withColumn("p", shared)
+    logs = {
+        c: F.log(F.when(F.col(f"{c}_types") == 0, F.col("p")).otherwise(backed(F.col(c), F.col(f"{c}_sum"), F.col(f"{c}_types"), F.col("p"))))
+        for c in ("ordinary", "toxic")
+    }
+    steps = both.select("gram", (logs["toxic"] - logs["ordinary"]).alias("step"))
+    # Steps are summed in the order of characters, so that a word's score is the same in every run.
+    each = F.sort_array(F.collect_list(F.struct("end", F.coalesce("step", F.lit(0.0)).alias("step"))))
+    mean = F.aggregate("each", F.lit(0.0), lambda a, x: a + x["step"]) / F.size("each")
+    return spelt.join(steps, "gram", "left").groupBy("word").agg(each.alias("each")).select("word", mean.alias("score"))
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """``(word)``: the distinct words of ``docs (text)`` without the marks at their edges."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[str] = set()
+        for batch in batches:
+            words = {w.strip(MARKS) for t in batch.column(0).to_pylist() for w in WORDS.findall(t.lower())} - sent
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            sent |= words
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
+
+    return docs.mapInArrow(found, "word string").distinct()
+
+
+def with_features(docs: DataFrame, model: Model, text: str, into: str) -> DataFrame:
+    """``docs`` with an array ``into`` besides its columns, rows in any order."""
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    plain = text in docs.columns and docs.schema[text].dataType.typeName() == "string"
+    carried = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text or not plain}
+    row = F.struct(F.lit(0).alias("none"), *[quoted[c].alias(n) for c, n in carried.items()])
+    rows = docs.select(quoted.get(text, F.col(text)).cast("string").alias("text"), row.alias("row"))
+    scores = word_scores(distinct_words(rows.select(text_of("text"))), model)
+    scores = written(scores, "word_scores")
+    chars = rows.agg(F.sum(F.length(text_of("text")).cast("long") + 1)).first()[0] or 1
+    n_blocks = max(1, -(-chars // BLOCK_CHARS))
+    # Equal texts are dealt by what else their rows hold. Hashes of collections are left out, since maps have none.
+    atoms = [f"row.{n}" for c, n in carried.items() if docs.schema[c].dataType.typeName() not in ("map", "array", "struct", "variant")]
+    block = F.pmod(F.xxhash64("text", *atoms), F.lit(n_blocks)).alias("block")
+    # Read with all its columns both times, so that Spark shuffles the texts once.
+    dealt = rows.select(block, "text", "row").repartition(min(n_blocks, BLOCK_TASKS), "block")
+
+    def ask(texts: pa.Table) -> pa.Table:
+        words = {w.strip(MARKS) for t in texts.column("text").to_pylist() for w in WORDS.findall((t or "").lower())}
+        block = texts.column("block")[0].as_py() if texts.num_rows else 0
+        return pa.table({"block": pa.array([block] * len(words), pa.int64()), "word": pa.array(list(words), pa.string())})
 
+    def compare(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        known = dict(zip(answers.column("word").to_pylist(), answers.column("score").to_pylist(), strict=True))
+        found = [features(t or "", known) for t in texts.column("text").to_pylist()]
+        return pa.table({"text": texts.column("text"), "row": texts.column("row"), "x": pa.array(found, pa.list_(pa.float64()))})
 
-def continuation_counts(grams: dict[str, int]) -> dict[str, int]:
-    """For every shorter gram, how many different longer ones end in it, down to single characters."""
-    out, layer = {}, set(grams)
-    while layer:
-        shorter: dict[str, int] = {}
-        for g in layer:
-            if len(g) > 1:
-                shorter[g[1:]] = shorter.get(g[1:], 0) + 1
-        for g, n in shorter.items():
-            out[g] = out.get(g, 0) + n
-        layer = set(shorter)
-    return out
+    answers = dealt.groupBy("block").applyInArrow(ask, "block long, word string").join(scores, "word").select("block", "word", "score")
+    schema = StructType([*rows.schema, StructField("x", ArrayType(DoubleType()))])
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(compare, schema)
+    return scored.select(*[F.col(f"row.{carried[c]}" if c in carried else "text").alias(c) for c in docs.columns], F.col("x").alias(into))
 
 
 def fit_toxicity(
@@ -168,58 +256,46 @@ def fit_toxicity(
     label: str = "toxic",
     text: str = "text",
     order: int = ORDER,
-    max_labelled: int = MAX_LABELLED,
-    max_grams: int = MAX_GRAMS,
 ) -> Model:
     """Learn from the rows of ``labels`` (``key``, ``label`` 0 or 1; nulls are skipped).
 
-    Of several labels of a key the more frequent counts, and none if they are tied. Of each class about ``max_labelled`` documents, and not many more ordinary
-    than toxic ones, are chosen by a hash of the key. The bound lets them be
-    broadcast. Their grams are counted before they come to the driver; if there
-    are more than ``max_grams``, shorter ones are counted instead. Without labels
-    of both classes, every document scores the share of toxic labels.
+    Of several labels of a key the more frequent counts, and none if they are
+    tied. Every labelled document is learnt from: most by the models, one in
+    ``CURVE_FOLDS`` by the curve. Without labels of both classes, every document
+    scores the share of toxic labels.
     """
     known = settled_labels(labels, key, label).withColumnRenamed("good", "bad")
     n, bad = known.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if not 0 < bad < n:
         share = min(max(bad / n if n else 0.0, 1e-3), 1 - 1e-3)
-        return Model(({}, {}), {}, order, (0.0,) * WIDTH, math.log(share / (1 - share)))
-    part = 1_000_000
-    at = F.pmod(F.xxhash64("_key", F.lit("toxic sample")), F.lit(part))
-    limit = F.when(F.col("bad"), int(part * min(1, max_labelled / bad))).otherwise(int(part * min(1, max_labelled / (n - bad))))
-    chosen = F.broadcast(known.where(at < limit))
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key")
-    rows = written(found.withColumn("curve", F.pmod(F.xxhash64("_key", F.lit("curve")), F.lit(CURVE_FOLDS)) == 0), "labelled")
+        return Model(order, None, None, (0.0,) * WIDTH, math.log(share / (1 - share)))
+    known = written(known.withColumn("curve", F.pmod(F.xxhash64("_key", F.lit("curve")), F.lit(CURVE_FOLDS)) == 0), "labels")
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = found.join(small_or_shuffled(known, BROADCAST_IDS), "_key")
     words = rows.where("NOT curve").select("bad", F.explode(words_of(F.lower("_text"))).alias("word"))
     words = words.groupBy("word").agg(F.count_if(~F.col("bad")).alias("ordinary"), F.count_if("bad").alias("toxic"))
-    words = written(words, "words")
-    table = written(gram_counts(words, order), "grams")
-    while order > 1 and table.count() > max_grams:
-        order -= 1
-        table = written(gram_counts(words, order), "grams")
-    counted = table.toPandas()
-    classes = tuple(dict(zip(counted.gram[counted[c] > 0], counted[c][counted[c] > 0], strict=True)) for c in ("ordinary", "toxic"))
-    shared = continuation_counts(dict.fromkeys(counted.gram, 1))
-    model = Model(classes, shared, order)
-    seen = with_features(rows.where("curve"), model, "_text", "x").select("bad", "x")
+    grams = written(gram_counts(words, order), "grams")
+    model = Model(order, grams, written(continuation_counts(grams, order), "shorter"))
+    seen = with_features(rows.where("curve").select("_text", "bad"), model, "_text", "x").select("bad", "x")
     seen = written(seen.select(array_to_vector("x").alias("features"), F.col("bad").cast("double").alias("label")), "curve")
     if seen.select("label").distinct().count() < 2:
-        return Model(classes, shared, order, (0.0, 8.0, *[0.0] * (WIDTH - 2)), -4.0)
+        return replace(model, weights=(0.0, 8.0, *[0.0] * (WIDTH - 2)), intercept=-4.0)
     # Both classes weigh alike, so that the middle of the curve lies between them.
     poor, rich = seen.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     weighed = seen.withColumn("weight", F.when(F.col("label") == 1, 1 / poor).otherwise(1 / rich) * (poor + rich) / 2)
     curve = LogisticRegression(regParam=1e-3, maxIter=100, weightCol="weight").fit(weighed)
-    return Model(classes, shared, order, tuple(float(w) for w in curve.coefficients), float(curve.intercept))
+    return replace(model, weights=tuple(float(w) for w in curve.coefficients), intercept=float(curve.intercept))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``toxicity`` between 0 and 1, higher where it is likelier.
 
-    Null texts score like empty ones. Rows are scored one by one, over their
-    whole text; other columns stay where they are whatever their names, and an
+    Null texts score like empty ones. Whole texts are scored; rows come back in
+    any order. Other columns stay where they are whatever their names, and an
     existing ``toxicity`` is replaced. The score may be filtered on: it is settled before.
     """
     x = spare(docs, "_t_x")
-    scored = with_features(docs, model, text, x)
+    zeros = F.array(*[F.lit(0.0)] * WIDTH)
+    scored = docs.withColumn(x, zeros) if model.grams is None else with_features(docs, model, text, x)
     z = F.aggregate(F.zip_with(x, F.array(*map(F.lit, model.weights)), lambda v, w: v * w), F.lit(model.intercept), lambda a, v: a + v)
     return with_settled(scored, "toxicity", 1 / (1 + F.exp(F.greatest(F.least(-z, F.lit(30.0)), F.lit(-30.0))))).drop(x)
