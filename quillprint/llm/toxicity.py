@@ -8,10 +8,10 @@ log-likelihoods divided by its length, a document by its mean word and by its
 most toxic words; a logistic curve, fitted on labelled documents that the
 models have not seen, makes the comparison a score.
 
-The models are tables, learnt from all labelled documents, and are never whole
-in one place. Documents are dealt into blocks of bounded size; a block asks for
-each distinct word of its texts once, joins with the tables compare the distinct
-words of all blocks, and the block makes its texts' features of the answers.
+The models are tables, learnt from all labelled documents. Joins with them work
+out the difference that each distinct gram of the scored texts makes. If these are
+few, every task gets them; if not, texts are dealt into blocks of bounded size, and
+each block gets those of its own grams. A document's features are the same either way.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -39,9 +40,11 @@ DISCOUNT = 0.75
 CURVE_FOLDS = 4
 #: Labels that are sent to every task instead of being shuffled with the texts.
 BROADCAST_IDS = 200_000
-#: Distinct words that a Python worker remembers to have sent before it starts afresh.
+#: Distinct words, and grams, that a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
-BLOCK_CHARS = 8_000_000
+#: Differences of more grams than these are joined to blocks of texts instead of being sent to every task.
+HELD_STEPS = 1_000_000
+BLOCK_CHARS = 16_000_000
 #: Tasks that blocks are dealt to, at most; a task takes its blocks one after the other.
 BLOCK_TASKS = 20_000
 EDGE = "\n"
@@ -76,7 +79,7 @@ class Model:
 
 
 class Comparison:
-    """Length-normalised difference of a word's two log-likelihoods, by a small model's counts; what ``word_scores`` does by joins."""
+    """Length-normalised difference of a word's two log-likelihoods, by a small model's counts; what ``gram_steps`` does by joins."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -118,33 +121,52 @@ class Comparison:
 
     def word(self, word: str) -> float:
         """The mean step."""
-        marked, order = EDGE + word + EDGE, self.model.order
-        return sum(self.step(marked[max(0, end - order) : end]) for end in range(2, len(marked) + 1)) / (len(marked) - 1)
+        grams = spelt(word, self.model.order)
+        return sum(self.step(g) for g in grams) / len(grams)
 
 
-def features(text: str, known: dict[str, float]) -> list[float]:
+def spelt(word: str, order: int) -> list[str]:
+    """For each character of a word after its first edge, the context and itself."""
+    marked = EDGE + word + EDGE
+    return [marked[max(0, end - order) : end] for end in range(2, len(marked) + 1)]
+
+
+class WordScores(dict):
+    """The mean step of each word asked for; grams without a step make no difference."""
+
+    def __init__(self, steps: dict[str, float], order: int) -> None:
+        super().__init__()
+        self.steps, self.order = steps, order
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > REMEMBERED:
+            self.clear()
+        grams = spelt(word.strip(MARKS), self.order)
+        self[word] = score = sum(self.steps.get(g, 0.0) for g in grams) / len(grams)
+        return score
+
+
+def features(text: str, known: WordScores) -> list[float]:
     """The mean word, then the most toxic different words; zeros stand for words that are not there."""
     words = Counter(WORDS.findall(text.lower()))
     if not words:
         return [0.0] * WIDTH
-    scores = {w: known[w.strip(MARKS)] for w in words}
+    scores = {w: known[w] for w in words}
     mean = sum(scores[w] * n for w, n in words.items()) / words.total()
     top = heapq.nlargest(TOP_WORDS, scores.values())
     return [mean, *top, *[0.0] * (TOP_WORDS - len(top)), math.log1p(words.total())]
 
 
-def grams_of(words: DataFrame, order: int) -> DataFrame:
-    """``words (word, ...)`` with ``end`` and ``gram``, a row for each character after the first edge: its context and itself."""
-    marks = "[" + re.escape(MARKS) + "]+"
-    marked = F.concat(F.lit(EDGE), F.regexp_replace("word", f"^{marks}|{marks}$", ""), F.lit(EDGE))
-    size = F.least(F.lit(order), F.col("end"))
-    ends = words.withColumn("_marked", marked).withColumn("end", F.explode(F.sequence(F.lit(2), F.length("_marked"))))
-    return ends.withColumn("gram", F.substring("_marked", F.col("end") - size + 1, size)).drop("_marked")
-
-
 def gram_counts(words: DataFrame, order: int) -> DataFrame:
     """``(gram, ordinary, toxic)`` of ``words (word, ordinary, toxic)``: contexts with the character after them."""
-    return grams_of(words, order).groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    marks = "[" + re.escape(MARKS) + "]+"
+    word = F.concat(F.lit(EDGE), F.regexp_replace("word", f"^{marks}|{marks}$", ""), F.lit(EDGE))
+    marked = words.select(word.alias("word"), "ordinary", "toxic")
+    ends = F.sequence(F.lit(2), F.length("word"))
+    size = F.least(F.lit(order), F.col("end"))
+    grams = marked.select("word", "ordinary", "toxic", F.explode(ends).alias("end"))
+    grams = grams.select("ordinary", "toxic", F.substring("word", F.col("end") - size + 1, size).alias("gram"))
+    return grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def without_first(gram: str) -> Column:
@@ -168,14 +190,12 @@ def continuation_counts(grams: DataFrame, order: int) -> DataFrame:
     return out.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def word_scores(words: DataFrame, model: Model) -> DataFrame:
-    """``(word, score)`` of the distinct ``words (word)``: the mean, over a word's characters, of the logarithm of toxic to ordinary probability."""
-    spelt = written(grams_of(words, model.order), "spelt")
-    # Contexts that neither class has seen make no difference.
+def gram_steps(grams: DataFrame, model: Model) -> DataFrame:
+    """``(gram, step)`` of those distinct ``grams (gram)`` whose context some class has: the logarithm of toxic to ordinary probability."""
     classes = [[F.sum(c).alias(f"{c}_sum"), F.count_if(F.col(c) > 0).alias(f"{c}_types")] for c in ("ordinary", "toxic")]
     totals = model.grams.groupBy(context_of("gram").alias("context")).agg(*classes[0], *classes[1])
-    asked = spelt.select("gram").distinct().withColumn("context", context_of("gram")).join(totals, "context")
-    asked = written(asked.join(model.grams, "gram", "left"), "asked")
+    asked = grams.withColumn("context", context_of("gram")).join(totals, "context").join(model.grams, "gram", "left")
+    asked = written(asked, "asked")
     # The shared probability is built up from the shortest suffix; a context that was never seen passes its shorter one on.
     ends = asked.select("gram", F.explode(F.expr("sequence(1, length(gram) - 1)")).alias("k")).withColumn("suffix", F.expr("right(gram, k)"))
     sums = model.shorter.groupBy(context_of("gram").alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
@@ -194,37 +214,58 @@ def word_scores(words: DataFrame, model: Model) -> DataFrame:
         c: F.log(F.when(F.col(f"{c}_types") == 0, F.col("p")).otherwise(backed(F.col(c), F.col(f"{c}_sum"), F.col(f"{c}_types"), F.col("p"))))
         for c in ("ordinary", "toxic")
     }
-    steps = both.select("gram", (logs["toxic"] - logs["ordinary"]).alias("step"))
-    # Steps are summed in the order of characters, so that a word's score is the same in every run.
-    each = F.sort_array(F.collect_list(F.struct("end", F.coalesce("step", F.lit(0.0)).alias("step"))))
-    mean = F.aggregate("each", F.lit(0.0), lambda a, x: a + x["step"]) / F.size("each")
-    return spelt.join(steps, "gram", "left").groupBy("word").agg(each.alias("each")).select("word", mean.alias("score"))
+    return both.select("gram", (logs["toxic"] - logs["ordinary"]).alias("step"))
+
+
+def own_grams(texts: Iterable[str | None], order: int, words: set[str], grams: set[str]) -> set[str]:
+    """Grams of ``texts`` that are not among ``grams``, which they join, as their words join ``words``."""
+    new = {w.strip(MARKS) for t in texts for w in WORDS.findall((t or "").lower())} - words
+    found = {g for w in new for g in spelt(w, order)} - grams
+    words |= new
+    grams |= found
+    return found
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """``(word)``: the distinct words of ``docs (text)`` without the marks at their edges."""
+def distinct_grams(docs: DataFrame, order: int) -> DataFrame:
+    """``(gram)``: the distinct grams of the words of ``docs (text)``."""
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[str] = set()
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
+        grams: set[str] = set()
         for batch in batches:
-            words = {w.strip(MARKS) for t in batch.column(0).to_pylist() for w in WORDS.findall(t.lower())} - sent
-            if len(sent) > REMEMBERED:
-                sent.clear()
-            sent |= words
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
+            for remembered in (words, grams):
+                if len(remembered) > REMEMBERED:
+                    remembered.clear()
+            found = own_grams(batch.column(0).to_pylist(), order, words, grams)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["gram"])
+
+    return docs.mapInArrow(find, "gram string").distinct()
+
+
+def with_features(docs: DataFrame, model: Model, text: str, into: str, held: int = HELD_STEPS) -> DataFrame:
+    """``docs`` with an array ``into`` besides its columns; rows in any order if there are more than ``held`` steps."""
+    order = model.order
+    steps = written(gram_steps(distinct_grams(docs.select(text_of(text).alias("text")), order), model), "steps")
+    if steps.count() > held:
+        return features_by_blocks(docs, steps, order, text, into)
+    everywhere = {r["gram"]: r["step"] for r in steps.collect()}
+
+    @F.pandas_udf("array<double>")
+    def compare(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = WordScores(everywhere, order)
+        for series in texts:
+            yield pd.Series([features(t, known) for t in series], dtype=object)
 
-    return docs.mapInArrow(found, "word string").distinct()
+    return docs.withColumn(into, compare(text_of(text)))
 
 
-def with_features(docs: DataFrame, model: Model, text: str, into: str) -> DataFrame:
-    """``docs`` with an array ``into`` besides its columns, rows in any order."""
+def features_by_blocks(docs: DataFrame, steps: DataFrame, order: int, text: str, into: str) -> DataFrame:
+    """``docs`` with an array ``into``: texts meet the ``steps (gram, step)`` of their grams block by block."""
     quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
     plain = text in docs.columns and docs.schema[text].dataType.typeName() == "string"
     carried = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text or not plain}
     row = F.struct(F.lit(0).alias("none"), *[quoted[c].alias(n) for c, n in carried.items()])
     rows = docs.select(quoted.get(text, F.col(text)).cast("string").alias("text"), row.alias("row"))
-    scores = word_scores(distinct_words(rows.select(text_of("text"))), model)
-    scores = written(scores, "word_scores")
     chars = rows.agg(F.sum(F.length(text_of("text")).cast("long") + 1)).first()[0] or 1
     n_blocks = max(1, -(-chars // BLOCK_CHARS))
     # Equal texts are dealt by what else their rows hold. Hashes of collections are left out, since maps have none.
@@ -234,16 +275,16 @@ def with_features(docs: DataFrame, model: Model, text: str, into: str) -> DataFr
     dealt = rows.select(block, "text", "row").repartition(min(n_blocks, BLOCK_TASKS), "block")
 
     def ask(texts: pa.Table) -> pa.Table:
-        words = {w.strip(MARKS) for t in texts.column("text").to_pylist() for w in WORDS.findall((t or "").lower())}
+        found = own_grams(texts.column("text").to_pylist(), order, set(), set())
         block = texts.column("block")[0].as_py() if texts.num_rows else 0
-        return pa.table({"block": pa.array([block] * len(words), pa.int64()), "word": pa.array(list(words), pa.string())})
+        return pa.table({"block": pa.array([block] * len(found), pa.int64()), "gram": pa.array(list(found), pa.string())})
 
     def compare(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known = dict(zip(answers.column("word").to_pylist(), answers.column("score").to_pylist(), strict=True))
+        known = WordScores(dict(zip(answers.column("gram").to_pylist(), answers.column("step").to_pylist(), strict=True)), order)
         found = [features(t or "", known) for t in texts.column("text").to_pylist()]
         return pa.table({"text": texts.column("text"), "row": texts.column("row"), "x": pa.array(found, pa.list_(pa.float64()))})
 
-    answers = dealt.groupBy("block").applyInArrow(ask, "block long, word string").join(scores, "word").select("block", "word", "score")
+    answers = dealt.groupBy("block").applyInArrow(ask, "block long, gram string").join(steps, "gram").select("block", "gram", "step")
     schema = StructType([*rows.schema, StructField("x", ArrayType(DoubleType()))])
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(compare, schema)
     return scored.select(*[F.col(f"row.{carried[c]}" if c in carried else "text").alias(c) for c in docs.columns], F.col("x").alias(into))
@@ -290,8 +331,8 @@ def fit_toxicity(
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``toxicity`` between 0 and 1, higher where it is likelier.
 
-    Null texts score like empty ones. Whole texts are scored; rows come back in
-    any order. Other columns stay where they are whatever their names, and an
+    Null texts score like empty ones. Whole texts are scored; rows may come back
+    in any order. Other columns stay where they are whatever their names, and an
     existing ``toxicity`` is replaced. The score may be filtered on: it is settled before.
     """
     x = spare(docs, "_t_x")

@@ -18,16 +18,20 @@ def test_every_labelled_document_is_learnt_from(spark):
     assert not hasattr(toxicity, "MAX_GRAMS") and model.order == toxicity.ORDER
 
 
-def test_word_scores_beside_plain_counts(spark):
-    texts = ["bad bat#", "good bag 한글", "bad, bad \U0001f600x", "a good dog", "bat (awful)", "do do", "say bad things", "say good things"]
+def test_steps_beside_plain_counts_and_both_ways(spark):
+    texts = ["bad bat#", "good bag 한글", "bad, bad \U0001f600x", "a good dog", "bat (awful)", "do do", "say bad things", "say good things", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
     labels = docs.select("doc_id", F.col("text").rlike("bad|bat").cast("int").alias("toxic"))
     words = ["bad", "bat", "goodness", "dab", "x", "", "한글", "\U0001f600", "unseenword", "things", "ba"]
     for order in (2, 3, 5):
         model = toxicity.fit_toxicity(docs, labels, order=order)
         comparison = toxicity.Comparison(model)
-        got = {r.word: r.score for r in toxicity.word_scores(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
-        assert got == {w: pytest.approx(comparison.word(w), abs=1e-12) for w in words}
-    out = toxicity.score_toxicity(docs.withColumn("row", F.create_map(F.lit("k"), "doc_id")).withColumn("toxicity", F.lit("old")), model)
-    assert out.columns == ["doc_id", "text", "row", "toxicity"]
-    assert sorted((r.doc_id, r.text, r.row["k"]) for r in out.collect()) == [(i, t, i) for i, t in enumerate(texts * 3)]
+        grams = spark.createDataFrame(sorted({(g,) for w in words for g in toxicity.spelt(w, order)}), "gram string")
+        known = toxicity.WordScores({r.gram: r.step for r in toxicity.gram_steps(grams, model).collect()}, order)
+        assert [known[w] for w in words] == [pytest.approx(comparison.word(w), abs=1e-12) for w in words]
+    more = docs.withColumn("row", F.create_map(F.lit("k"), "doc_id")).withColumn("block", F.lit("old"))
+    out = [toxicity.with_features(more, model, "text", "x", held) for held in (0, 10**6)]
+    assert [o.columns for o in out] == [["doc_id", "text", "row", "block", "x"]] * 2
+    first, second = (sorted((r.doc_id, r.text or "", r.row["k"], r.block, r.x) for r in o.collect()) for o in out)
+    assert first == second
+    assert [r[:3] for r in first] == [(i, t or "", i) for i, t in enumerate(texts * 3)]
