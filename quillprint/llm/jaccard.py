@@ -14,8 +14,9 @@ All order signatures alike, so the rarest that two linked sets share stays in bo
 
 Copies of one set are compared as one. Candidates are checked exactly if their
 sizes and sketches allow a link. Within a signature every set is first compared
-with a pivot only, the set that meets most others; of the further pairs, those are
-compared whose ends are not yet known to be connected.
+with a pivot only, the set that meets most others. Sets that share a signature and are
+not yet known to be connected then meet by prefixes: by the shingles that are the
+rarest among such sets, of which linked sets share one.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from quillprint.llm.support import small_or_shuffled, text_of, written
 
 PIVOT_ROUNDS = 2
 BROADCAST_IDS = 200_000
+#: Texts that a worker holds as Python strings at once.
+SLICE = 256
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Signatures that a set leaves out, in bands of even and of odd numbers.
 BEYOND = ("even", "odd")
@@ -338,6 +341,52 @@ def likely_pairs(pairs: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:
     return both.where(other | (differing * (100 + rule.percent) <= room)).select("a", "b").distinct()
 
 
+def prefix_rows(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """``(shingle, doc, component, n_shingles, place)``: the rarest shingles of each set of ``members (doc, component)``.
+
+    Sets order their shingles alike, the rarest among members first; the place counts from one. Beyond
+    the places kept too few shingles follow for a link, and shingles of one set only join nothing.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [shingle_set(t, rule.words) for t in part.column(1).to_pylist()]
+                own = pa.array([int(np.bitwise_xor.reduce(mix(f))) >> 1 if len(f) else 0 for f in found], pa.int64())
+                sets = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), own, sets], names=["doc", "own", "shingles"])
+
+    needed = docs.join(small_or_shuffled(members.select("doc"), BROADCAST_IDS), "doc", "left_semi").select("doc", "text")
+    sets = needed.mapInArrow(cut, "doc long, own long, shingles array<long>")
+    rows = sets.select("doc", "own", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("shingle"))
+    dealt = written(rows, "shingles").repartition("shingle")
+    counted = dealt.join(dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle")
+    # Ranks without gaps: rows that are repeated do not move the others.
+    place = F.dense_rank().over(Window.partitionBy("doc", "own").orderBy("n", "shingle")).cast("long")
+    first = counted.withColumn("place", place).where(f"n > 1 AND 100 * (n_shingles - place + 1) >= {rule.percent} * n_shingles")
+    return first.join(members, "doc").select("shingle", "doc", "component", "n_shingles", "place")
+
+
+def prefix_pairs(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """``(doc, pivot)``: pairs of ``members (doc, component)`` of different components, among them all that are linked.
+
+    Linked sets share so many shingles that the first one shared, in an order from rare to frequent, stands
+    early in both. Changed copies of one text whose own changes are too many for a link begin with
+    those changes, so they meet no other copy, however many there are.
+    """
+    each = written(prefix_rows(docs, members, rule), "prefixes")
+    # Pairs within the largest component of a shingle need no look: one side is what lies outside it.
+    sizes = each.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = written(sizes.groupBy("shingle").agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1"), "main")
+    outside = written(each.join(main, "shingle").where("component != main"), "outside")
+    apart = F.expr("x.shingle = y.shingle AND x.component != y.component")
+    least = rule.percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    early = [(100 + rule.percent) * (F.col(f"{s}.n_shingles") - F.col(f"{s}.place") + 1) >= least for s in ("x", "y")]
+    met = outside.alias("x").join(each.alias("y"), apart & early[0] & early[1])
+    return met.select("x.doc", F.col("y.doc").alias("pivot"))
+
+
 def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: Rule) -> DataFrame:
     """``(a, b)``: links that connect exactly the documents which all links of ``docs (doc, text)`` connect.
 
@@ -364,14 +413,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, traits: DataFrame, rule: R
             break
         unsettled = written(placed.join(open_sigs, "sig"), "unsettled")
         if last:
-            wanted = traits.drop("fine", *BEYOND).join(unsettled.select("doc").distinct(), "doc", "left_semi").dropDuplicates()
-            each = written(unsettled.select("sig", "doc", "component").join(wanted, "doc"), "unsettled")
-            # Pairs within the largest component of a signature need no look: one side is what lies outside it.
-            sizes = each.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
-            main = written(sizes.groupBy("sig").agg(F.max_by("component", "n").alias("main")), "main")
-            outside = written(each.join(main, "sig").where("component != main"), "outside")
-            apart = F.expr("x.sig = y.sig AND x.component != y.component")
-            met = outside.alias("x").join(each.alias("y"), apart & may_link(rule)).select("x.doc", F.col("y.doc").alias("pivot"))
+            met = prefix_pairs(docs, written(unsettled.select("doc", "component").distinct(), "unsettled"), rule)
         else:
             ends = F.array(*[F.when(F.col("component") != F.col(f"p{i}.component"), F.col(f"p{i}.doc")) for i in (0, 1)])
             met = unsettled.select("doc", F.explode(F.array_compact(ends)).alias("pivot"))
