@@ -28,7 +28,6 @@ from itertools import combinations
 from math import ceil, exp, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,6 +209,13 @@ def fine_words(size: int) -> int:
     return 1 << max(2, min(9, (size >> 6).bit_length()))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``SLICE`` at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def set_traits(docs: DataFrame, rule: Rule) -> DataFrame:
     """For each row of ``docs (doc, text)``: set size, a 128-bit key of the contents, signatures to leave out, a short and a fine sketch."""
     names = ("n_shingles", "high", "low", *BEYOND, *SKETCH)
@@ -218,7 +224,7 @@ def set_traits(docs: DataFrame, rule: Rule) -> DataFrame:
     def traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             rows, fine = np.zeros((batch.num_rows, len(names)), np.int64), []
             for row, t in zip(rows, batch.column(1).to_pylist(), strict=True):
                 found = shingle_set(t, rule.words)
@@ -240,8 +246,8 @@ def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
         def rows(ids: list, sigs: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "doc"])
 
-        for batch in batches:
-            ids, sigs, held = [], [], 0
+        ids, sigs, held = [], [], 0
+        for batch in slices(batches):
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = signatures(shingle_set(t, rule.words), rule)
                 ids.append(np.full(len(found), doc, np.int64))
@@ -250,8 +256,8 @@ def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 if held > 200_000:
                     yield rows(ids, sigs)
                     ids, sigs, held = [], [], 0
-            if held:
-                yield rows(ids, sigs)
+        if held:
+            yield rows(ids, sigs)
 
     return docs.mapInArrow(sign, "sig long, doc long")
 
@@ -263,27 +269,23 @@ def checked_pairs(pairs: DataFrame, docs: DataFrame, rule: Rule, held: DataFrame
     earlier pairs, are read into sets again.
     """
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, rule.words).tobytes() for t in texts], dtype=object)
-
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            out.append(rule.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        return pd.Series(out, dtype=bool)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(t, rule.words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     ids = written(ids if held is None else ids.join(held.select("doc"), "doc", "left_anti"), "paired")
     needed = docs.join(small_or_shuffled(ids, BROADCAST_IDS), "doc", "left_semi")
-    sets = written(needed.select("doc", packed("text").alias("shingles")), "sets")
+    sets = written(needed.select("doc", "text").mapInArrow(cut, "doc long, shingles array<long>"), "sets")
     sets = sets if held is None else held.unionByName(sets)
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", linked("left", "right").alias("linked")), sets
+    # Compared by Spark: batches of pairs for Python would hold the sets once more on either side.
+    shared = F.size(F.array_intersect("left", "right")).cast("long")
+    linked = (100 + rule.percent) * shared >= rule.percent * (F.size("left") + F.size("right")).cast("long")
+    return both.select("a", "b", linked.alias("linked")), sets
 
 
 def may_link(rule: Rule) -> Column:
@@ -349,13 +351,11 @@ def prefix_rows(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = [shingle_set(t, rule.words) for t in part.column(1).to_pylist()]
-                own = pa.array([int(np.bitwise_xor.reduce(mix(f))) >> 1 if len(f) else 0 for f in found], pa.int64())
-                sets = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), own, sets], names=["doc", "own", "shingles"])
+        for batch in slices(batches):
+            found = [shingle_set(t, rule.words) for t in batch.column(1).to_pylist()]
+            own = pa.array([int(np.bitwise_xor.reduce(mix(f))) >> 1 if len(f) else 0 for f in found], pa.int64())
+            sets = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, sets], names=["doc", "own", "shingles"])
 
     needed = docs.join(small_or_shuffled(members.select("doc"), BROADCAST_IDS), "doc", "left_semi").select("doc", "text")
     sets = needed.mapInArrow(cut, "doc long, own long, shingles array<long>")
